@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.llm import decontam, linededup, packing, quality, simhash, tokenfiles, toxicity
 from terrace.llm.common import table
 from terrace.llm.pii import pseudonymise
 from terrace.llm.rules import quality_rules
@@ -26,16 +27,53 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+@query("op1_edit_join_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_hilbert_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op3_hilbert_sharding")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 24)
 
 
+@query("op4_template_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_golay_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_trie_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_elias_fano_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(table(spark, sf_dir, "documents"))
+
+
 @query("op8_repetition_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op9_byte_convnet_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op10_feistel_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for every validated value. A production key comes from a secret store."""
