@@ -19,3 +19,14 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the plan modules, which register their queries."""
+    from importlib import import_module
+
+    for name in PLANS:
+        import_module(f"terrace.plans.{name}")
+
+
+PLANS = ("q_scalars", "q_features", "q_text_models")
