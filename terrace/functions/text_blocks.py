@@ -7,15 +7,16 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def explode_match_json(df: DataFrame, json_col: str, schema: str, players: str, shots: str, meta: list[str]) -> tuple[DataFrame, DataFrame]:
     """T1. Player rows (a map of players per side) and shot rows (an array per side) of a nested match text, with the
     match's own columns."""
-    parsed = df.select(*meta, F.from_json(json_col, schema).alias("m"))
-    sides = parsed.select(*meta, F.explode(f"m.{players}").alias("side", "map"))
+    parsed = df.select(*meta, F.from_json(json_col, schema).alias("_match"))
+    sides = parsed.select(*meta, F.explode(f"_match.{players}").alias("side", "map"))
     rows = sides.select(*meta, "side", F.explode(F.map_values("map")).alias("r")).select(*meta, "side", "r.*")
-    taken = parsed.select(*meta, F.explode(f"m.{shots}").alias("side", "list")).select(*meta, "side", F.explode("list").alias("r")).select(*meta, "side", "r.*")
+    taken = parsed.select(*meta, F.explode(f"_match.{shots}").alias("side", "list")).select(*meta, "side", F.explode("list").alias("r")).select(*meta, "side", "r.*")
     return rows, taken
 
 
@@ -36,7 +37,7 @@ def first_by_label(arr: Column, field: str, label: str) -> Column:
     return F.get(F.filter(arr, lambda e: F.lower(F.trim(e[field])) == label.lower()), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """Entities decoded; Spark has no built-in for this."""
     return texts.map(lambda t: None if t is None else html.unescape(t))
@@ -46,7 +47,7 @@ def html_to_text(c: Column, entities: bool = True) -> Column:
     """T4. Tags become blanks, entities are decoded, runs of blanks become one."""
     t = F.regexp_replace(c, "<[^>]*>", " ")
     t = F.when(t.contains("&"), unescape(t)).otherwise(t) if entities else t
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.regexp_replace(t, r"[\s ]+", " "))
 
 
 def extract_blocks(df: DataFrame, col: str, pattern: str, names: list[str], keep: list[str]) -> DataFrame:
