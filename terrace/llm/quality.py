@@ -38,11 +38,11 @@ def symbols(data: bytes) -> np.ndarray:
     # Word number of each byte and a sum hash of each word; equal neighbours of two bytes or more are marked.
     word = np.cumsum(b <= 32)
     pos = np.arange(n)
-    first = np.concatenate([[0], np.flatnonzero(b <= 32)])
+    first = np.concatenate([[-1], np.flatnonzero(b <= 32)])  # the blank before each word
     weight = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * ((pos - first[word]).astype(np.uint64) * np.uint64(2) + np.uint64(1))
     weight[b <= 32] = 0
     mixed = weight ^ (weight >> np.uint64(29))
-    h = np.add.reduceat(mixed, np.minimum(first, n - 1))
+    h = np.add.reduceat(mixed, np.maximum(first, 0))
     size = np.bincount(word, minlength=len(first))
     same = np.zeros(len(first), bool)
     same[1:] = (h[1:] == h[:-1]) & (size[1:] > 2)

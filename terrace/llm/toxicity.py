@@ -28,8 +28,8 @@ TRAIN_DOCS, TRAIN_CHARS = 4_000, 20_000
 MIN_TOXIC, MIN_PLACES, MIN_SHARE, MIN_LETTERS = 4, 0.01, 0.97, 4
 #: What the weights are without data, and how strongly they are held there: misspelled hits are rare among labels.
 PRIOR, RIDGE = np.array([-3.5, 3.0, 2.0, 0.5, 1.0, 1.0, 1.5]), 0.5
-#: Words on either side of a hit that its context covers.
-CONTEXT = 6
+#: Words on either side of a hit within which other hits and words of reporting count, and quotation marks.
+CONTEXT, QUOTE = 6, 20
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _OPEN, _CLOSE = "\"“„«‘‹", "\"”“»’›"
 #: Words that introduce another's speech, in the four languages of the tables.
@@ -166,11 +166,11 @@ class Model:
         spans = [m.span() for m in _WORD.finditer(low)]
         out = []
         for i, (edits, term) in found:
-            a, b = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
-            before, after = text[spans[a][0] : spans[i][0]], text[spans[i][1] : spans[b - 1][1] + 1]
+            a, b = max(0, i - QUOTE), min(len(words), i + QUOTE + 1)
+            before, after = text[max(0, spans[a][0] - 2) : spans[i][0]], text[spans[i][1] : spans[b - 1][1] + 1]
             opened = max((before.rfind(c) for c in _OPEN), default=-1)
             quoted = opened >= 0 and any(c in after for c in _CLOSE) and not any(c in before[opened + 1 :] for c in _CLOSE)
-            told = any(w in REPORTING for w in words[a:i])
+            told = any(w in REPORTING for w in words[max(0, i - CONTEXT) : i])
             out.append({"word": i, "start": spans[i][0], "end": spans[i][1], "term": self.terms[term], "edits": edits, "quoted": quoted, "told": told})
         return out
 
