@@ -14,7 +14,7 @@ _SPACE = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
 
 #: Largest share of a text's characters in repeated n-grams of 5 to 10 words, and in repeated lines.
-LIMITS = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
+LIMITS = {5: 0.42, 6: 0.41, 7: 0.40, 8: 0.39, 9: 0.38, 10: 0.37}
 LINE_LIMIT = 0.30
 #: Repeats of less than this many characters in all never reject a text: shares of short texts say little.
 MIN_REPEAT_CHARS = 120
