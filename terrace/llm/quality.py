@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from terrace.llm.common import by_row, crc_bucket
 
 EMBED, WIDTH, STEP, FILTERS, POOL = 6, 8, 4, 24, 128
-#: Labelled documents and bytes of each that training takes at most. A longer one is trained on its first bytes, its
-#: last bytes and a middle part; scoring always reads all.
-TRAIN_DOCS, TRAIN_BYTES, EPOCHS, RATE, SEED = 1_600, 4_096, 5, 0.01, 5
+#: Labelled documents and characters of each that training takes at most. A longer one is trained on its first, middle
+#: and last parts; scoring always reads all.
+TRAIN_DOCS, TRAIN_CHARS, EPOCHS, RATE, SEED = 1_600, 4_096, 5, 0.01, 5
 #: Conv places that one matrix product handles; bounds memory on long texts.
 BLOCK = 32_768
 
@@ -85,14 +85,6 @@ class Net:
         return 1 / (1 + float(np.exp(-max(-60.0, min(60.0, z)))))
 
 
-def _excerpt(text: str) -> bytes:
-    b = text.encode("utf-8", "surrogatepass")
-    if len(b) <= TRAIN_BYTES:
-        return b
-    part, mid = TRAIN_BYTES // 3, len(b) // 2
-    return b[:part] + b[mid : mid + part] + b[-part:]
-
-
 def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Net:
     """Fit the network. Classes weigh equally; without rows of both classes the score is the share of label 1."""
     rng = np.random.default_rng(seed)
@@ -110,7 +102,7 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Net:
         net.offset[0] = 0.0 if not rows else 4.0 if ones else -4.0
         return net
     weight = {1: len(rows) / (2 * ones), 0: len(rows) / (2 * (len(rows) - ones))}
-    codes = [symbols(_excerpt(t or "")) for t, _ in rows]
+    codes = [symbols((t or "").encode("utf-8", "surrogatepass")) for t, _ in rows]
     params = net.params()
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     grads = [np.zeros_like(p) for p in params]
@@ -158,10 +150,11 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Net:
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int, most_chars: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
     """A bounded sample of labelled rows, half of each class where there are enough, in a hash order of the ids.
 
-    Rows with a null id or label are no examples. Ids go first: only the texts of the chosen rows travel.
+    Rows with a null id or label are no examples. Ids go first: only the texts of the chosen rows travel, and of one
+    longer than ``most_chars`` its first, middle and last parts, so what reaches the driver is bounded.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     known = known.filter(crc_bucket("doc_id", parts) != held)
@@ -169,12 +162,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, he
     chosen = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(most // 2) for y in (0, 1)]
     # At most ``most`` ids: a bounded broadcast.
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    got = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(picked, "doc_id").orderBy("doc_id", "text").limit(most)
+    t, part = F.col(text), most_chars // 3
+    middle = F.substring(t, (F.length(t) / 2).cast("int"), F.lit(part))
+    short = F.when(F.length(t) > most_chars, F.concat(F.substring(t, 1, part), middle, F.substring(t, -part, part))).otherwise(t)
+    got = docs.select(F.col(doc_id).alias("doc_id"), short.alias("text")).join(picked, "doc_id").orderBy("doc_id", "text").limit(most)
     return [(r["text"], r["y"]) for r in got.select("text", "y", "doc_id").collect()]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Net:
-    return train(training_rows(docs, labels, "quality", 5, 0, TRAIN_DOCS, doc_id, text))
+    return train(training_rows(docs, labels, "quality", 5, 0, TRAIN_DOCS, TRAIN_CHARS, doc_id, text))
 
 
 def score_quality(docs: DataFrame, net: Net, cut: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from terrace.llm.common import by_row
 from terrace.llm.quality import training_rows
 
-#: Labelled documents from which lexicon and weights are learnt, at most; and their longest part (in characters).
+#: Labelled documents from which lexicon and weights are learnt, at most; and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 4_000, 20_000
 #: A term needs places in toxic text with so many different neighbours (and this many a toxic document), this share of
 #: toxic use (classes weighed alike), and so many letters.
@@ -210,7 +210,7 @@ def _stems(around: dict[str, set], seen: Counter, n1: int, n0: int) -> list[str]
 
 def learn(rows: list[tuple[str | None, int]]) -> Model:
     """Lexicon and weights from (text, label) examples. Without toxic examples every score is low."""
-    rows = [((t or "")[:TRAIN_CHARS], y) for t, y in rows]
+    rows = [(t or "", y) for t, y in rows]
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
     seen: Counter = Counter()
@@ -257,7 +257,7 @@ def learn(rows: list[tuple[str | None, int]]) -> Model:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-    return learn(training_rows(docs, labels, "toxic", 3, 1, TRAIN_DOCS, doc_id, text))
+    return learn(training_rows(docs, labels, "toxic", 3, 1, TRAIN_DOCS, TRAIN_CHARS, doc_id, text))
 
 
 def score_toxicity(docs: DataFrame, model: Model, cut: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

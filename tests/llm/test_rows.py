@@ -312,7 +312,7 @@ def test_repeated_words_are_marked():
 def test_training_rows_stay_outside_the_held_out_part(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
-    rows = quality.training_rows(docs, labels, "quality", 5, 0, 60)
+    rows = quality.training_rows(docs, labels, "quality", 5, 0, 60, 900)
     assert len(rows) == 60 and sum(y for _, y in rows) == 30
     assert all(zlib.crc32(t[1:].encode()) % 5 for t, _ in rows)
-    assert quality.training_rows(docs, labels.limit(0), "quality", 5, 0, 60) == []
+    assert quality.training_rows(docs, labels.limit(0), "quality", 5, 0, 60, 900) == []
