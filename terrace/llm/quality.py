@@ -22,6 +22,8 @@ EMBED, WIDTH, STEP, FILTERS, POOL = 6, 8, 4, 24, 128
 #: Labelled documents and characters of each that training takes at most. A longer one is trained on its first, middle
 #: and last parts; scoring always reads all.
 TRAIN_DOCS, TRAIN_CHARS, EPOCHS, RATE, SEED = 1_600, 4_096, 5, 0.01, 5
+#: Few examples are gone over more often, until there were so many steps.
+MIN_STEPS, MOST_EPOCHS = 300, 60
 #: Conv places that one matrix product handles; bounds memory on long texts.
 BLOCK = 32_768
 
@@ -106,10 +108,11 @@ def train(rows: list[tuple[str | None, int]], seed: int = SEED) -> Net:
     params = net.params()
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     grads = [np.zeros_like(p) for p in params]
-    step, batch = 0, 16
-    total = EPOCHS * len(rows)
+    step, batch = 0, min(16, len(rows))
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-MIN_STEPS * batch // len(rows))))
+    total = epochs * len(rows)
     done = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for n, i in enumerate(rng.permutation(len(rows))):
             c, y = codes[i], rows[i][1]
             x = net._places(c)

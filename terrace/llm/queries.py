@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import decontam, linededup, packing, quality, simhash, tokenfiles, toxicity
+from terrace.llm import decontam, linededup, packing, quality, rules, simhash, tokenfiles, toxicity
 from terrace.llm.common import table
 from terrace.llm.pii import pseudonymise
 from terrace.llm.rules import quality_rules
@@ -63,7 +63,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"))
 
 
-@query("op8_repetition_rules")
+def _op8_sql() -> str:
+    """The same counts with lists and windows; SQL meets every n-gram, not only those that may repeat."""
+    over = " OR ".join(f"(coalesce(c{n}, 0) >= {rules.MIN_REPEAT_CHARS} AND coalesce(c{n}, 0) > {v}::DOUBLE * greatest(1, word_chars))" for n, v in rules.LIMITS.items())
+    each = ", ".join(f"coalesce(max(chars) FILTER (WHERE n = {n}), 0) AS c{n}" for n in rules.LIMITS)
+    most = ", ".join(f"coalesce(c{n}, 0)" for n in rules.LIMITS)
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    b AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(list_distinct(ls), lambda x: length(x))), 0) AS BIGINT) AS line_chars FROM w),
+    g AS (SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS gram FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([{', '.join(map(str, rules.LIMITS))}]) AS n))),
+    r AS (SELECT doc_id, n, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, n, gram) > 1),
+    p AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS pos FROM r),
+    s AS (SELECT doc_id, n, count(*) AS k, sum(length(ws[pos])) AS chars FROM p JOIN w USING (doc_id) GROUP BY ALL),
+    c AS (SELECT doc_id, coalesce(max(k) FILTER (WHERE n = 8), 0) AS n_repeat_words, {each} FROM s GROUP BY doc_id),
+    a AS (SELECT b.*, coalesce(n_repeat_words, 0) AS n_repeat_words, {', '.join(f'c{n}' for n in rules.LIMITS)} FROM b LEFT JOIN c USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+      NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR (line_chars >= {rules.MIN_REPEAT_CHARS} AND line_chars > {rules.LINE_LIMIT}::DOUBLE * greatest(1, word_chars)) OR {over}) AS kept,
+      line_chars, CAST(greatest({most}) AS BIGINT) AS repeat_chars FROM a"""
+
+
+@query("op8_repetition_rules", _op8_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
