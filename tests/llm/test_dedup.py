@@ -182,6 +182,10 @@ def test_line_dedup_against_all_pairs(spark):
     rows = {r.doc_id: r for r in linededup.line_report(df).collect()}
     assert len(rows) == len(docs) and rows[900].n_lines == 0 and rows[901].n_lines == 1
     assert sum(r.n_equal + r.n_near for r in rows.values()) == len(want)
+    keys = {x.strip(" ").lower() for _, t in docs if t for x in t.split("\n") if len(x.strip(" ")) >= 32}
+    degree = {x: sum(x != y and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in keys) for x in keys}
+    for d, t in docs[:30]:
+        assert rows[d].n_links == sum(degree.get(x.strip(" ").lower(), 0) for x in t.split("\n"))
 
 
 def test_line_dedup_of_repeated_rows_and_nothing(spark):
