@@ -28,7 +28,7 @@ from terrace.llm.tokens import encoder, vocabulary_path
 MAGIC = b"TEFIDS01"
 _HEADER = struct.Struct("<5Q")
 #: Ids of a file, about; a file is read whole by one task. It ends with the document that reaches this.
-FILE_IDS = 4_000_000
+FILE_IDS = 1_000_000
 
 
 class EliasFano:
