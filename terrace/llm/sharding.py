@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bits per dimension; three dimensions give 4,096 cells at most.
 BITS = 4
 #: Rows of a cell that are ranked together; larger cells are split by a hash of the id.
-RANK_ROWS = 20_000
+RANK_ROWS = 2_000
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
