@@ -19,7 +19,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an equal or near line precedes. ``n_chars`` follows the text."""
     from pyspark.sql import functions as F
 
-    out = linededup.without_repeated_lines(docs)
+    out = linededup.without_repeated_lines(docs, short=True)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in out.columns else out
 
 
