@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose their outer punctuation and case; numbers, units after numbers and (in a second view) names inside sentences
-become typed placeholders, which gives a template that survives new parameters. Windows of five template words are
+Words lose their outer punctuation and case; numbers, units after numbers and names (in a second view the capitalised
+words inside sentences, in a third all capitalised words) become typed placeholders, which gives a template that survives new parameters. Windows of five template words are
 hashed on both sides. Documents are read once: a bounded bitmap of the benchmark's hashes drops almost every window at
 once, the rest is hash-joined with the benchmark by Spark. A matched run counts only if its slots are consistent: one
 value of the item must stand for one value of the document throughout. An item is found in a document when at least
@@ -44,9 +44,9 @@ def _hash(word: str) -> int:
 
 
 class Words:
-    """Numbers for raw words, with their hashes in a table: plain template, surface, kind, end of sentence."""
+    """Numbers for raw words, with their hashes in a table: plain template, surface, kind, end of sentence, capital."""
 
-    WORD, NUMBER, UNIT, NAME, NOTHING = range(5)
+    WORD, NUMBER, UNIT, NOTHING = range(4)
 
     def __init__(self) -> None:
         self.clear()
@@ -54,12 +54,12 @@ class Words:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.plain, self.surface = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
-        self.kind, self.ends = np.zeros(1024, np.uint8), np.zeros(1024, bool)
+        self.kind, self.ends, self.capital = np.zeros(1024, np.uint8), np.zeros(1024, bool), np.zeros(1024, bool)
 
     def add(self, raw: str) -> int:
         i = len(self.number)
         if i == len(self.plain):
-            self.plain, self.surface, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.plain, self.surface, self.kind, self.ends))
+            self.plain, self.surface, self.kind, self.ends, self.capital = (np.concatenate([x, np.zeros_like(x)]) for x in (self.plain, self.surface, self.kind, self.ends, self.capital))
         self.number[raw] = i
         core = raw
         while core and not (core[0].isalnum() or (len(core) > 1 and core[0] in "+-−$€£" and core[1].isdigit())):
@@ -75,10 +75,9 @@ class Words:
             self.kind[i], self.plain[i] = self.NUMBER, _NUM
         elif (m := _MEASURE.match(core)) and (m[2].lower() in UNITS or m[2][0] == "°"):
             self.kind[i], self.plain[i] = self.NUMBER, _NUM ^ _UNIT
-        elif low in UNITS:
-            self.kind[i] = self.UNIT
-        elif core[0].isupper() and core[1:].islower():
-            self.kind[i] = self.NAME
+        else:
+            self.kind[i] = self.UNIT if low in UNITS else self.WORD
+            self.capital[i] = core[0].isupper()
         return i
 
 
@@ -87,11 +86,13 @@ def _words() -> Words:
     return Words()
 
 
-def templates(text: str | None) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """The views of a text: (view, hashes of its windows, slot values per template word or 0).
+def views_of(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The views of a text: their numbers, and a row for each with the hashes of its windows and the slot values per
+    template word or 0.
 
-    View 0 has placeholders for numbers and units; view 1, where the text has names inside sentences, for these too. In
-    a text of fewer words than a window all of them make the one window; a text without words has none.
+    View 0 has placeholders for numbers and units; view 1, where the text has capitalised words inside sentences, for
+    these too; view 2, where it has any, for all capitalised words. In a text of fewer words than a window all of them
+    make the one window; a text without words has no view.
     """
     words = _words()
     if len(words.number) > CACHE_WORDS:
@@ -108,29 +109,35 @@ def templates(text: str | None) -> list[tuple[int, np.ndarray, np.ndarray]]:
         # Bare punctuation is no word, but may end a sentence for the word that follows.
         at, kind, starts = at[real], kind[real], starts[real]
     if not len(at):
-        return []
+        return [], np.zeros((0, 0), np.uint64), np.zeros((0, 0), np.uint64)
     plain, surface = words.plain[at].copy(), words.surface[at]
     is_number = kind == Words.NUMBER
     unit = np.zeros(len(at), bool)
     unit[1:] = (kind[1:] == Words.UNIT) & is_number[:-1]
     plain[unit] = _UNIT
-    name = (kind == Words.NAME) & ~starts
-    views = [(0, plain, is_number | unit)]
-    if name.any():
-        typed = plain.copy()
-        typed[name] = _NAME
-        views.append((1, typed, is_number | unit | name))
-    out = []
-    for view, h, slot in views:
-        n = min(WINDOW, len(h))
-        rolled = np.zeros(len(h) - n + 1, np.uint64)
-        for k in range(n):
-            rolled = rolled * _BASE + h[k : len(h) - n + 1 + k]
-        # A window of almost nothing but placeholders says too little.
-        free = np.convolve(~slot, np.ones(n, int), "valid") >= min(MIN_WORDS, n)
-        rolled[~free] = 0
-        out.append((view, rolled, np.where(slot, surface, 0)))
-    return out
+    typed = is_number | unit
+    capital = words.capital[at] & ~unit
+    views, names = [0], [np.zeros(len(at), bool)]
+    if (inside := capital & ~starts).any():
+        views, names = [*views, 1], [*names, inside]
+    if capital.any():
+        views, names = [*views, 2], [*names, capital]
+    name = np.stack(names)
+    h, slot = np.where(name, np.uint64(_NAME), plain), name | typed
+    n = min(WINDOW, len(plain))
+    m = len(plain) - n + 1
+    rolled, filled = np.zeros((len(views), m), np.uint64), np.zeros((len(views), m), np.int8)
+    for k in range(n):
+        rolled = rolled * _BASE + h[:, k : m + k]
+        filled += slot[:, k : m + k]
+    # A window of almost nothing but placeholders says too little.
+    rolled[filled > n - min(MIN_WORDS, n)] = 0
+    return views, rolled, np.where(slot, surface, np.uint64(0))
+
+
+def templates(text: str | None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The views of a text as a list: (view, hashes of its windows, slot values per template word or 0)."""
+    return list(zip(*views_of(text), strict=True))
 
 
 def _signed(x: int) -> int:
@@ -145,10 +152,16 @@ _WINDOWS = "view int, hash bigint, at int, slots array<bigint>"
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Each item's template windows."""
+    """Each item's template windows. View 2 counts only for items of which it leaves half of the windows usable: what is
+    left of a title in capitals would be found in any text."""
 
     def rows(ids: list, texts: list) -> list[tuple]:
-        return [(i, v, _signed(int(h)), k, _slots(slots, k)) for i, t in zip(ids, texts, strict=True) for v, hs, slots in templates(t) for k, h in enumerate(hs) if h]
+        out = []
+        for i, t in zip(ids, texts, strict=True):
+            for v, hs, slots in templates(t):
+                if v < 2 or 2 * np.count_nonzero(hs) >= len(hs):
+                    out += [(i, v, _signed(int(h)), k, _slots(slots, k)) for k, h in enumerate(hs) if h]
+        return out
 
     return by_row(benchmark, [item_id, text], f"item_id bigint, {_WINDOWS}", rows)
 
@@ -171,10 +184,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         packed = shared.value
         out = []
         for i, t in zip(ids, texts, strict=True):
-            for v, hs, slots in templates(t):
-                b = (hs & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                hit = np.flatnonzero((packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 & (hs != 0))
-                out += [(i, v, _signed(int(hs[k])), int(k), _slots(slots, k)) for k in hit]
+            views, hs, slots = views_of(t)
+            b = (hs & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            hit = np.nonzero((packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 & (hs != 0))
+            out += [(i, views[v], _signed(int(hs[v, k])), int(k), _slots(slots[v], k)) for v, k in zip(*hit, strict=True)]
         return out
 
     found = by_row(docs, [doc_id, text], f"doc_id bigint, {_WINDOWS}", rows)

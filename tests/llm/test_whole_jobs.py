@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from terrace.llm import linededup
+from terrace.llm import decontam, linededup
 from terrace.llm.queries import QUERIES
 
 
@@ -23,3 +23,15 @@ def test_short_repeated_lines_go(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(linededup, "HEAVY", 1)
     calm = {r.doc_id: r.text for r in linededup.without_repeated_lines(df, short=True).collect()}
     assert calm == texts
+
+
+def test_names_at_the_start_of_sentences_are_slots(spark):
+    """Also names of other shapes, and names that are spelt like units."""
+    text = "{0} has 3 apples. {0} buys 4 more. How many apples does {0} have now?"
+    bench = spark.createDataFrame([(1, text.format("Alice")), (2, "{0} met {1} at noon. {1} gave {0} a red book and {0} read it twice. Who read it?".format("O'Brien", "Jean-Luc"))], "item_id long, text string")
+    other = "{0} met {1} at noon. {1} gave {0} a red book and {0} read it twice. Who read it?"
+    docs = [(1, text.format("Bob").replace("3", "8")), (2, "Question: " + text.format("Miles")), (3, text.format("McDonald")), (4, other.format("NASA", "Eve")), (5, text.format("Alice"))]
+    docs += [(6, "Bob has 3 apples. Carl buys 4 more. How many apples does Dan have now?"), (7, "Alice sold the house. Bob bought it."), (8, "")]
+    got = {r.doc_id: r for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {d: r.item_id for d, r in got.items() if r.contaminated} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 1}
+    assert got[5].verbatim and not got[1].verbatim
