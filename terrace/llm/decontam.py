@@ -5,7 +5,8 @@ words inside sentences, in a third all capitalised words) become typed placehold
 hashed on both sides. Documents are read once: a bounded bitmap of the benchmark's hashes drops almost every window at
 once, the rest is hash-joined with the benchmark by Spark. A matched run counts only if its slots are consistent: one
 value of the item must stand for one value of the document throughout. An item is found in a document when at least
-0.8 of its windows are.
+0.8 of its windows are. An item without a window that says enough (almost all of it is numbers) is sought
+as a whole, word by word with its values and free-standing signs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ UNITS = frozenset(
 )
 _NUM, _UNIT, _NAME = 0x1D8E4E27C47D124F, 0x3F6A2B1C5D4E7081, 0x27D4EB2F165667C5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The number of the view in which an item is one window of its own length.
+WHOLE = 3
 #: What a worker keeps of the words it has met; emptied when full.
 CACHE_WORDS = 500_000
 
@@ -70,7 +74,7 @@ class Words:
         self.surface[i] = self.plain[i] = _hash(low)
         self.ends[i] = bool(re.search(r"[.!?…]['\"”»)]*$", raw))
         if not core:
-            self.kind[i] = self.NOTHING
+            self.kind[i], self.surface[i] = self.NOTHING, _hash(raw)
         elif _NUMBER.match(core):
             self.kind[i], self.plain[i] = self.NUMBER, _NUM
         elif (m := _MEASURE.match(core)) and (m[2].lower() in UNITS or m[2][0] == "°"):
@@ -140,6 +144,36 @@ def templates(text: str | None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return list(zip(*views_of(text), strict=True))
 
 
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, modulo 2^64."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64))]) for x in (_BASE, _INVERSE))
+
+
+def _surfaces(text: str | None, trim: bool = False) -> np.ndarray:
+    """Surface hashes of all words and free-standing signs; trimmed, without signs at either end."""
+    words = _words()
+    if len(words.number) > CACHE_WORDS:
+        words.clear()
+    number = words.number
+    at = np.array([number[w] if w in number else words.add(w) for w in (text or "").split()], np.int64)
+    if trim:
+        real = np.flatnonzero(words.kind[at] != Words.NOTHING)
+        at = at[real[0] : real[-1] + 1] if len(real) else at[:0]
+    return words.surface[at]
+
+
+def whole_windows(surfaces: np.ndarray, lengths: list[int]) -> list[int]:
+    """Hashes of all windows of the given lengths, each once; any length costs the same."""
+    n = len(surfaces)
+    if not any(k <= n for k in lengths):
+        return []
+    power, inverse = (x[:n] for x in _powers(1 << n.bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(surfaces * inverse)])
+    got = [(sums[k:] - sums[:-k]) * power[: n - k + 1] ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in lengths if k <= n]
+    return np.unique(np.concatenate(got)).tolist()
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -153,12 +187,18 @@ _WINDOWS = "view int, hash bigint, at int, slots array<bigint>"
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Each item's template windows. View 2 counts only for items of which it leaves half of the windows usable: what is
-    left of a title in capitals would be found in any text."""
+    left of a title in capitals would be found in any text. An item without a usable window has one row in the view
+    ``WHOLE``, with its length in place of the window's place."""
 
     def rows(ids: list, texts: list) -> list[tuple]:
         out = []
         for i, t in zip(ids, texts, strict=True):
-            for v, hs, slots in templates(t):
+            views = templates(t)
+            # View 0 has the most usable windows.
+            if views and not views[0][1].any():
+                whole = _surfaces(t, trim=True)
+                out += [(i, WHOLE, _signed(h), len(whole), []) for h in whole_windows(whole, [len(whole)])]
+            for v, hs, slots in views:
                 if v < 2 or 2 * np.count_nonzero(hs) >= len(hs):
                     out += [(i, v, _signed(int(h)), k, _slots(slots, k)) for k, h in enumerate(hs) if h]
         return out
@@ -169,7 +209,8 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
     """Items found in documents: ``doc_id, item_id, coverage, verbatim`` (no slot value was changed).
 
-    Null and empty texts hold and leak nothing; items of fewer words than a window have one window. Repeated rows of a
+    Null and empty texts hold and leak nothing; items of fewer words than a window have one window, of all words of the
+    document too. Items without a usable window are found wherever they stand as a whole. Repeated rows of a
     document count once. Rows with a null id are treated as one document. Extra columns are not read.
     """
     spark = docs.sparkSession
@@ -178,12 +219,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     marks = [r[0] for r in bench.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("b")).distinct().collect()]
     bits = np.zeros(FILTER_BITS, bool)
     bits[marks] = True
+    lengths = sorted(r[0] for r in bench.filter(F.col("view") == WHOLE).select("at").distinct().collect())
     shared = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def rows(ids: list, texts: list) -> list[tuple]:
         packed = shared.value
         out = []
         for i, t in zip(ids, texts, strict=True):
+            if lengths:
+                whole = whole_windows(_surfaces(t), lengths)
+                out += [(i, WHOLE, _signed(h), 0, []) for h in whole if packed[(h & FILTER_BITS - 1) >> 3] >> (h & 7) & 1]
             views, hs, slots = views_of(t)
             b = (hs & np.uint64(FILTER_BITS - 1)).astype(np.int64)
             hit = np.nonzero((packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 & (hs != 0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline
 from terrace.llm import decontam, linededup
 from terrace.llm.queries import QUERIES
@@ -35,3 +37,23 @@ def test_names_at_the_start_of_sentences_are_slots(spark):
     got = {r.doc_id: r for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert {d: r.item_id for d, r in got.items() if r.contaminated} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 1}
     assert got[5].verbatim and not got[1].verbatim
+
+
+def test_items_without_a_usable_window_are_found_as_a_whole(spark):
+    long = " ".join(map(str, range(40)))
+    items = [(1, "What is 12 * 7 + 3?"), (2, "7 * 8"), (3, f"Add {long}!"), (4, "- ?"), (5, "")]
+    docs = [(1, "Today: What is 12 * 7 + 3 ? Nobody knew."), (2, "he said: 7 * 8, please"), (3, f"please add {long} now"), (4, "What is 12 + 7 * 3?"), (5, "What is 12 * 7 + 4?")]
+    docs += [(6, "7 + 8"), (7, f"add {long[2:]}"), (8, "- ?"), (9, None), (10, "What is 12 * 7 + 3?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {d: r.item_id for d, r in got.items() if r.contaminated} == {1: 1, 2: 2, 3: 3, 10: 1}
+    assert all(got[d].verbatim for d in (1, 2, 3, 10))
+
+
+def test_windows_of_any_length():
+    """Equal runs have equal hashes wherever they stand, different runs and other lengths do not."""
+    a = np.random.default_rng(0).integers(0, 1 << 63, 70, np.uint64)
+    for k in (1, 2, 33, 64):
+        assert set(decontam.whole_windows(a[5 : 5 + k], [k])) <= set(decontam.whole_windows(a, [k, 69]))
+        assert not set(decontam.whole_windows(a[::-1][:k], [k])) & set(decontam.whole_windows(a, [k])) or k == 1
+    assert len(decontam.whole_windows(a, [1, 2, 70, 71])) == 70 + 69 + 1
