@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
 Every document becomes a hashed count vector of its byte trigrams, a fixed random projection brings it to a few
-dimensions, and each dimension is cut at quantiles of a bounded sample. Documents are range-sorted by the Hilbert index
+dimensions, and each dimension is cut at quantiles of all documents. Documents are range-sorted by the Hilbert index
 of their grid cell, so neighbours in a sequence resemble each other; each range is encoded as one stream and cut every
 1,024 ids. What is left at a range's end becomes sequences whose lengths are powers of two, which need no padding.
 """
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from terrace.llm.common import prepare
+from terrace.llm.common import prepare, settle
 from terrace.llm.tokens import encoder, vocabulary_path
 
 #: Hash width of the vectors, dimensions after projection, bits of each on the curve.
 WIDTH, DIMS, BITS = 512, 3, 8
-#: Documents from which the quantiles are taken, at most.
-SAMPLE = 2_000
+#: The quantiles' ranks are right within one part of this number.
+ACCURACY = 10_000
 LENGTH = 1024
 
 
@@ -74,18 +74,21 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_cuts(docs: DataFrame, text: str, sample: int = SAMPLE) -> np.ndarray:
-    """Quantile cuts of each projected dimension, from at most ``sample`` documents of a seeded sample."""
+def pointed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text, p0, p1, ...``: the documents with their projected points, written once for all that follows."""
     @F.pandas_udf(ArrayType(FloatType()))
     def point(texts: pd.Series) -> pd.Series:
         return pd.Series([project(t) for t in texts])
 
-    # Only the points travel to the driver, whatever the texts' length.
-    share = docs.sample(False, 0.05, seed=11).limit(sample).select(point(F.col(text))).collect()
-    if len(share) < 200:
-        share = docs.limit(sample).select(point(F.col(text))).collect()
-    points = np.array([r[0] for r in share] or [np.zeros(DIMS)], np.float32)
-    return np.quantile(points, np.linspace(0, 1, (1 << BITS) + 1)[1:-1], axis=0).T.astype(np.float32)
+    points = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), point(F.col(text)).alias("p"))
+    return settle(points.select("doc_id", "text", *[F.col("p")[i].alias(f"p{i}") for i in range(DIMS)]), "points")
+
+
+def curve_cuts(points: DataFrame) -> np.ndarray:
+    """Quantile cuts of each projected dimension over all documents. A fixed number of values reaches the driver."""
+    ranks = [float(x) for x in np.linspace(0, 1, (1 << BITS) + 1)[1:-1]]
+    cuts = points.agg(*[F.percentile_approx(f"p{i}", ranks, ACCURACY) for i in range(DIMS)]).first()
+    return np.array([c or [0.0] * len(ranks) for c in cuts], np.float32)
 
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded bigint, curve bigint"
@@ -100,12 +103,12 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = L
     read. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    cuts = curve_cuts(docs, text)
+    points = pointed(docs, doc_id, text)
+    cuts = curve_cuts(points)
 
     @F.pandas_udf("bigint")
-    def curve(texts: pd.Series) -> pd.Series:
-        points = np.array([project(t) for t in texts], np.float32).reshape(len(texts), DIMS)
-        cells = np.stack([np.searchsorted(cuts[i], points[:, i]) for i in range(DIMS)], 1)
+    def curve(*at: pd.Series) -> pd.Series:
+        cells = np.stack([np.searchsorted(c, x.to_numpy(np.float32)) for c, x in zip(cuts, at, strict=True)], 1)
         return pd.Series(hilbert_keys(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +159,6 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = L
             sequence, filled = sequence + 1, filled - size
         yield batch(got)
 
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), curve(F.col(text)).alias("curve"))
+    keyed = points.select("doc_id", "text", curve(*[f"p{i}" for i in range(DIMS)]).alias("curve"))
     ordered = keyed.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return ordered.select("doc_id", "text", "curve").mapInArrow(run, SCHEMA)

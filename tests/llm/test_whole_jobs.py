@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from terrace.llm import decontam, linededup
+from terrace.llm import decontam, linededup, packing
 from terrace.llm.queries import QUERIES
 
 
@@ -57,3 +57,14 @@ def test_windows_of_any_length():
         assert set(decontam.whole_windows(a[5 : 5 + k], [k])) <= set(decontam.whole_windows(a, [k, 69]))
         assert not set(decontam.whole_windows(a[::-1][:k], [k])) & set(decontam.whole_windows(a, [k])) or k == 1
     assert len(decontam.whole_windows(a, [1, 2, 70, 71])) == 70 + 69 + 1
+
+
+def test_the_curve_fits_documents_that_come_late(spark):
+    """The cuts are quantiles of the whole table, also where one source fills its first rows."""
+    rng = np.random.default_rng(1)
+    word = lambda letters: "".join(rng.choice(list(letters), 60))
+    docs = [(i, word("0123456789 ")) for i in range(2400)] + [(i, "~" * 40 + word("aé")) for i in range(2400, 3300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    curve = {r.doc_id: r.curve for r in packing.pack(df).collect()}
+    late = {curve[i] for i in range(2400, 3300)}
+    assert len(curve) == len(docs) and len(late) > 500
