@@ -54,13 +54,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Remove the files of a settled table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever it has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def by_row(df: DataFrame, columns: list[str], schema: str, rows: Callable[..., list[tuple]]) -> DataFrame:

@@ -146,21 +146,33 @@ def test_banded_distance(spark, most):
         assert r.d == (None if r.a is None else min(most + 1, edits(r.a, r.b))), (r.a, r.b)
 
 
-def slow_drops(docs):
-    places = [((d is not None, d or 0), k, x.strip(" ").lower()) for d, t in docs if t is not None for k, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= 32]
+def row_hash(text):
+    x = xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def slow_drops(docs, least=32):
+    """Every line that goes, as (id, text, line number, near)."""
+    places = {((d is not None, d or 0), row_hash(t), k, t, x.strip(" ").lower()) for d, t in docs if t is not None for k, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= least}
     first = {}
-    for d, k, x in sorted(places):
-        first.setdefault(x, (d, k))
+    for d, r, k, t, x in sorted(places):
+        first.setdefault(x, (d, r, k))
     out = set()
-    for d, k, x in places:
-        again = first[x] < (d, k)
+    for d, r, k, t, x in places:
+        again = first[x] < (d, r, k)
         near = any(at < first[x] and y != x and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y, at in first.items())
         if again or near:
-            out.add((d[1] if d[0] else None, k, not again))
+            out.add((d[1] if d[0] else None, t, k, not again))
     return out
 
 
-def test_line_dedup_against_all_pairs(spark):
+def rest_of(d, t, gone):
+    return None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not {(d, t, k, True), (d, t, k, False)} & gone)
+
+
+@pytest.mark.parametrize("hot", [1, linededup.HOT])
+def test_line_dedup_against_all_pairs(spark, hot):
+    """With hot = 1 every key is crowded, so all links come from groups."""
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(33, 70))).strip() for _ in range(40)]
     lines = [change(rng, rng.choice(base), rng.randrange(4), "xyz é") for _ in range(260)] + ["short"] * 20
@@ -171,21 +183,61 @@ def test_line_dedup_against_all_pairs(spark):
         docs.append((len(docs), "\n".join(lines[:k])))
         lines = lines[k:]
     docs += [(900, None), (901, ""), (None, docs[0][1]), (902, docs[3][1].upper()), (903, "\n".join([base[0]] * 3))]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("at", F.lit(1)).withColumn("near", F.lit("x"))
+    # Rows that share an id, or have none, with lines of their own at the same places.
+    own = ["".join(rng.choice("mnopqrst ") for _ in range(50)).strip() for _ in range(4)]
+    docs += [(904, f"{base[1]}\n{own[0]}"), (904, f"{base[1]}x\n{own[1]}"), (None, f"{own[2]}\n{base[2]}"), (None, f"{base[2]}y\n{own[3]}"), (904, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("at", "near", "of", "_of", "row", "gone", "_gone", "h", "key")})
     want = slow_drops(docs)
-    got = {(r.doc_id, r["at"], r.near) for r in linededup.dropped(df).collect()}
+    texts_of = {(d, row_hash(t)): t for d, t in docs if t is not None}
+    got = {(r.doc_id, texts_of[r.doc_id, r.row], r["at"], r.near) for r in linededup.dropped(df, hot=hot).collect()}
     assert got == want
-    texts = {r.doc_id: r.text for r in linededup.without_repeated_lines(df).collect()}
-    for d, t in docs:
-        keep = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not {(d, k, True), (d, k, False)} & want)
-        assert texts[d] == keep
-    rows = {r.doc_id: r for r in linededup.line_report(df).collect()}
-    assert len(rows) == len(docs) and rows[900].n_lines == 0 and rows[901].n_lines == 1
-    assert sum(r.n_equal + r.n_near for r in rows.values()) == len(want)
+    out = linededup.without_repeated_lines(df, hot=hot)
+    assert out.columns == df.columns
+    left = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    assert left == sorted((str(d), str(rest_of(d, t, want))) for d, t in docs)
+    assert all(any(o in t for _, t in left) for o in own)
+    report = linededup.line_report(df, hot=hot).collect()
+    assert len(report) == len(docs) and sum(r.n_equal + r.n_near for r in report) == len(want)
+    rows = {r.doc_id: r for r in report}
+    assert rows[900].n_lines == 0 and rows[901].n_lines == 1
     keys = {x.strip(" ").lower() for _, t in docs if t for x in t.split("\n") if len(x.strip(" ")) >= 32}
     degree = {x: sum(x != y and abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in keys) for x in keys}
     for d, t in docs[:30]:
-        assert rows[d].n_links == sum(degree.get(x.strip(" ").lower(), 0) for x in t.split("\n"))
+        links = sum(degree.get(x.strip(" ").lower(), 0) for x in t.split("\n"))
+        assert rows[d].n_links == links if hot > 1 else (rows[d].n_links > 0) == (links > 0) and rows[d].n_links <= links
+
+
+@pytest.mark.parametrize("base", ["page of the book that was read in the year", "a" * 40])
+def test_large_groups_of_near_lines(spark, base):
+    """Hundreds of lines with one or two changes each, at all places, and some with three: the same result as all pairs."""
+    rng = random.Random(len(set(base)))
+    lines = {base} | {change(rng, base, rng.choice([1, 1, 2, 3]), "abxé") for _ in range(160)}
+    lines |= {f"{base} number {i:03}" for i in range(0, 1000, 13)}
+    docs = [(i, t) for i, t in enumerate(rng.sample(sorted(lines), len(lines)))]
+    got = {(r.doc_id, r.near) for r in linededup.dropped(spark.createDataFrame(docs, "doc_id long, text string"), hot=8).collect()}
+    assert got == {(d, near) for d, _, _, near in slow_drops(docs)}
+
+
+def test_groups_hold_no_pair_that_is_too_far(spark):
+    rng = random.Random(7)
+    lines = sorted({change(rng, "ab" * 20, rng.randrange(5), "abc") for _ in range(120)})
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select((F.xxhash64("line").bitwiseAND(F.lit(-2))).alias("h"), "line")
+    links, groups = linededup.near_links(df, hot=2)
+    name = {r.h: r.line for r in df.collect()}
+    met = {frozenset((name[r.a], name[r.b])) for r in links.collect()}
+    by_group = {}
+    for r in groups.collect():
+        by_group.setdefault(r.g, []).append(name[r.h])
+    for g in by_group.values():
+        met |= {frozenset((a, b)) for i, a in enumerate(g) for b in g[:i]}
+    assert met == {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if edits(a, b) <= 2}
+
+
+def test_near_texts(spark):
+    rng = random.Random(1)
+    pairs = [(a, change(rng, a, rng.randrange(5))) for a in ("".join(rng.choice("abcé") for _ in range(rng.choice([0, 1, 2, 9, 33, 90]))) for _ in range(400))]
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.near(F.col("a"), F.col("b")).alias("near")).collect():
+        assert r.near == (edits(r.a, r.b) <= 2), (r.a, r.b)
 
 
 def test_line_dedup_of_repeated_rows_and_nothing(spark):
@@ -194,3 +246,7 @@ def test_line_dedup_of_repeated_rows_and_nothing(spark):
     assert [r.text for r in linededup.without_repeated_lines(df).collect()] == [line, line]
     assert linededup.line_report(df.limit(0)).count() == 0
     assert linededup.without_repeated_lines(df.limit(0)).count() == 0
+    long = " ".join(f"{line} {i}" for i in range(4000))
+    rows = [(1, f"{long} end\n{line}"), (2, f"{long} and"), (3, line)]
+    got = {r.doc_id: r.text for r in linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: ""}

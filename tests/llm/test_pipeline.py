@@ -52,7 +52,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     from terrace.llm import decontam, quality
     from terrace.llm.tokens import vocabulary_path
-    from tests.llm.test_dedup import change, classes, slow_drops, slow_print
+    from tests.llm.test_dedup import change, classes, rest_of, slow_drops, slow_print
 
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
@@ -80,8 +80,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     net = quality.fit_quality(source, labels)
     left = [(d, t) for d, t in docs if net.score(t) >= 0.3]
     assert 30 < len(left) < len(docs)
-    gone = {(d, k) for d, k, _ in slow_drops(left)}
-    left = [(d, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone)) for d, t in left]
+    gone = slow_drops(left)
+    left = [(d, rest_of(d, t, gone)) for d, t in left]
     prints = {d: slow_print(t) for d, t in left}
     nodes = sorted(set(prints.values()))
     c = classes(nodes, [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if bin(a ^ b).count("1") <= 2])
