@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch that goes to Python. Texts can be long, so Spark's 10,000 would hold too much at once.
@@ -33,11 +34,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names; a folder of our own only where none is named and all runs on this
+    machine. A cluster without one is an error: its executors would not see each other's files."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -62,6 +66,11 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(text: Column) -> Column:
+    """Tells rows that share an id (or have none) apart; null for a null text."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def by_row(df: DataFrame, columns: list[str], schema: str, rows: Callable[..., list[tuple]]) -> DataFrame:
     """Apply ``rows(*column lists) -> list of tuples`` to each Arrow batch of the named columns."""
     from pyspark.sql.types import _parse_datatype_string

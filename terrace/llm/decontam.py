@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import by_row, settle
+from terrace.llm.common import by_row, fresh_name, row_hash, settle
 
 WINDOW, CONTAINED, MIN_WORDS = 5, 0.8, 3
 #: Bits of the prefilter; its size does not depend on the benchmark. What it lets through wrongly the join removes.
@@ -206,64 +206,74 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     return by_row(benchmark, [item_id, text], f"item_id bigint, {_WINDOWS}", rows)
 
 
+def _bitmap(bench: DataFrame) -> np.ndarray:
+    """The set of the benchmark's hashes, modulo ``FILTER_BITS``, one bit each. Executors build it in blocks of 32,768 bits;
+    at most ``FILTER_BITS`` / 8 bytes reach the driver, whatever the benchmark's size."""
+    b = F.pmod("hash", F.lit(FILTER_BITS))
+    blocks = bench.groupBy(F.shiftright(b, 15).alias("block")).agg(F.bitmap_construct_agg(b.bitwiseAND(F.lit(32_767))).alias("bits"))
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in blocks.collect():
+        packed[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return packed
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
-    """Items found in documents: ``doc_id, item_id, coverage, verbatim`` (no slot value was changed).
+    """Items found in documents: ``doc_id, row, item_id, coverage, verbatim`` (no slot value was changed).
 
     Null and empty texts hold and leak nothing; items of fewer words than a window have one window, of all words of the
-    document too. Items without a usable window are found wherever they stand as a whole. Repeated rows of a
-    document count once. Rows with a null id are treated as one document. Extra columns are not read.
+    document too. Items without a usable window are found wherever they stand as a whole. Rows that share an id, or have
+    none, are told apart by ``row``, the hash of their text; rows equal in both are one. Extra columns are not read.
     """
     spark = docs.sparkSession
     bench = settle(benchmark_windows(benchmark), "benchmark")
-    # At most FILTER_BITS numbers reach the driver, whatever the benchmark's size.
-    marks = [r[0] for r in bench.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("b")).distinct().collect()]
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[marks] = True
     lengths = sorted(r[0] for r in bench.filter(F.col("view") == WHOLE).select("at").distinct().collect())
-    shared = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    shared = spark.sparkContext.broadcast(_bitmap(bench))
+    hashed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_hash(F.col(text)).alias("row"), F.col(text).alias("text"))
 
-    def rows(ids: list, texts: list) -> list[tuple]:
+    def rows(ids: list, hashes: list, texts: list) -> list[tuple]:
         packed = shared.value
         out = []
-        for i, t in zip(ids, texts, strict=True):
+        for i, r, t in zip(ids, hashes, texts, strict=True):
             if lengths:
                 whole = whole_windows(_surfaces(t), lengths)
-                out += [(i, WHOLE, _signed(h), 0, []) for h in whole if packed[(h & FILTER_BITS - 1) >> 3] >> (h & 7) & 1]
+                out += [(i, r, WHOLE, _signed(h), 0, []) for h in whole if packed[(h & FILTER_BITS - 1) >> 3] >> (h & 7) & 1]
             views, hs, slots = views_of(t)
             b = (hs & np.uint64(FILTER_BITS - 1)).astype(np.int64)
             hit = np.nonzero((packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 & (hs != 0))
-            out += [(i, views[v], _signed(int(hs[v, k])), int(k), _slots(slots[v], k)) for v, k in zip(*hit, strict=True)]
+            out += [(i, r, views[v], _signed(int(hs[v, k])), int(k), _slots(slots[v], k)) for v, k in zip(*hit, strict=True)]
         return out
 
-    found = by_row(docs, [doc_id, text], f"doc_id bigint, {_WINDOWS}", rows)
+    found = by_row(hashed, ["doc_id", "row", "text"], f"doc_id bigint, row bigint, {_WINDOWS}", rows)
     b = bench.select("item_id", "view", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     met = found.join(b, ["view", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
     # A run: one item in one document at one shift. Its slot pairs must be a function of the item's value.
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     pairs = F.filter(pairs, lambda p: p["i"] != 0)
-    runs = met.groupBy("doc_id", "item_id", "view", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    runs = met.groupBy("doc_id", "row", "item_id", "view", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
     runs = runs.filter(F.size("pairs") == F.size(values)).withColumn("verbatim", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    places = runs.groupBy("doc_id", "item_id", "view").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n"), F.bool_and("verbatim").alias("verbatim"))
+    places = runs.groupBy("doc_id", "row", "item_id", "view").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n"), F.bool_and("verbatim").alias("verbatim"))
     sizes = bench.groupBy("item_id", "view").agg(F.countDistinct("at").alias("windows"))
     share = (F.col("n") / F.col("windows")).alias("coverage")
-    scored = places.join(sizes, ["item_id", "view"]).select("doc_id", "item_id", share, "verbatim").filter(F.col("coverage") >= contained)
-    return scored.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
+    scored = places.join(sizes, ["item_id", "view"]).select("doc_id", "row", "item_id", share, "verbatim").filter(F.col("coverage") >= contained)
+    return scored.groupBy("doc_id", "row", "item_id").agg(F.max("coverage").alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: whether it leaks, how many items, the smallest of them, the best coverage."""
-    found = leaks(docs, benchmark, doc_id, text).groupBy("doc_id").agg(
+    found = leaks(docs, benchmark, doc_id, text).groupBy("doc_id", "row").agg(
         F.count("*").alias("n_items"), F.min("item_id").alias("item_id"), F.round(F.max("coverage"), 6).alias("coverage"), F.bool_and("verbatim").alias("verbatim")
     )
-    d, f = docs.select(F.col(doc_id).alias("doc_id")).alias("d"), found.alias("f")
-    out = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
+    d, f = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row_hash(F.col(text)).alias("row")).alias("d"), found.alias("f")
+    out = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.row") == F.col("f.row")), "left")
     return out.select(
         "d.doc_id", F.col("f.n_items").isNotNull().alias("contaminated"), F.coalesce("f.n_items", F.lit(0)).alias("n_items"), "f.item_id", F.coalesce("f.coverage", F.lit(0.0)).alias("coverage"), "f.verbatim"
     )
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    found = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that hold no item, with all their columns, whatever their names. Of rows that share an id, or have
+    none, only those whose own text holds an item go."""
+    of, row = fresh_name(docs, "of"), fresh_name(docs, "row")
+    found = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(of), F.col("row").alias(row)).distinct()
+    return docs.join(found, F.col(doc_id).cast("bigint").eqNullSafe(F.col(of)) & (row_hash(F.col(text)) == F.col(row)), "left_anti")

@@ -22,10 +22,10 @@ from functools import cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import by_row, settle
+from terrace.llm.common import by_row, fresh_name, settle
 from terrace.llm.components import components
 
 WORDS, ERRORS, HOT = 3, 2, 48
@@ -131,6 +131,30 @@ def near_links(prints: DataFrame, errors: int = ERRORS, hot: int = HOT) -> DataF
     return pairs.unionByName(second)
 
 
+def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, row, fp``: each document's fingerprint, and the hash of its text as the row's second key."""
+
+    def rows(ids: list, hashes: list, texts: list) -> list[tuple]:
+        return [(i, r, f - (1 << 64) if f >> 63 else f) for i, r, f in zip(ids, hashes, map(fingerprint, texts), strict=True)]
+
+    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), _row(doc_id, text).alias("row"), F.col(text).alias("text"))
+    return settle(by_row(given, ["doc_id", "row", "text"], "doc_id bigint, row bigint, fp bigint", rows), "prints")
+
+
+def _row(doc_id: str, text: str) -> Column:
+    """Never null: with the id, or 0 for none, it tells rows apart."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.col(text))
+
+
+def _classes(marked: DataFrame) -> DataFrame:
+    """``fp, root, best``: every fingerprint's component and first row: ``none`` (no id), ``doc_id, row``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    nodes = settle(marked.groupBy("fp").agg(first), "nodes")
+    # Only nodes with a link have a root.
+    roots = components(near_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: fingerprint (16 hex digits) and the smallest id that is reachable over links.
 
@@ -138,22 +162,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     documents have them, so a hot group costs one node. Repeated rows give repeated rows; a null id counts as no id when
     the smallest is sought. Extra columns are not read.
     """
-
-    def rows(ids: list, texts: list) -> list[tuple]:
-        return [(i, f - (1 << 64) if f >> 63 else f) for i, f in zip(ids, map(fingerprint, texts), strict=True)]
-
-    marked = settle(by_row(docs, [doc_id, text], "doc_id bigint, fp bigint", rows), "prints")
-    prints = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(near_links(prints))
-    # Only nodes with a link have a root; the smallest id of a component is that of its nodes' smallest.
-    placed = roots.withColumnRenamed("node", "fp").join(prints, "fp")
-    lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = placed.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    named = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    marked = _prints(docs, doc_id, text)
+    classes = settle(_classes(marked), "classes")
+    lowest = classes.groupBy("root").agg(F.min("best.doc_id").alias("component_id"))
+    named = classes.join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component. Rows with a null id stay."""
-    found = near_duplicates(docs, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(found, doc_id, "left_anti")
+    """One document of each component: the row with the smallest id, with all its columns, whatever their names.
+
+    Of rows that share this id, one with the smallest hash of its text stays; of rows equal in id and text, one. A row
+    without an id stays only where its component has no id at all, and then one.
+    """
+    of, row = fresh_name(docs, "of"), fresh_name(docs, "row")
+    best = _classes(_prints(docs, doc_id, text)).groupBy("root").agg(F.min("best").alias("best"))
+    chosen = best.select(F.coalesce("best.doc_id", F.lit(0)).alias(of), F.col("best.row").alias(row))
+    keyed = docs.withColumns({of: F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)), row: _row(doc_id, text)})
+    return keyed.join(chosen, [of, row], "left_semi").dropDuplicates([of, row]).select(*docs.columns)

@@ -107,11 +107,21 @@ def test_near_duplicates_end_to_end(spark):
             low[c[f]] = min(d, low.get(c[f], d))
     want = sorted((str(d), f"{f:016x}", low[c[f]]) for d, f in fps)
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
-    kept = simhash.keep_one(df.filter("doc_id is not null")).select("doc_id").collect()
-    assert {r.doc_id for r in kept} == set(low.values())
+    kept = simhash.keep_one(df).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(low.values())) and kept[0].asDict().keys() == set(df.columns)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Shared and null ids, equal rows, and columns named like helpers."""
+    a, b, c = ("one two three four five six", "quite another text about rivers and mills", "a third that nobody has copied")
+    rows = [(1, a), (1, a), (1, b), (1, b), (None, a), (None, c), (None, c), (2, b), (None, None), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("x") for x in ("of", "_of", "row", "fp", "best", "root")})
+    kept = simhash.keep_one(df).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted([("1", a), ("1", b), ("None", c), ("3", "None")])
+    assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df.limit(0)).count() == 0
+
+
 def edits(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -194,6 +194,13 @@ def test_leaks_are_found_under_new_parameters(spark):
     assert decontam.report(df, bench).count() == len(rows)
     assert {r.doc_id for r in decontam.without_leaks(df, bench).collect()} == {4, 5, 6, 7, 9}
     assert decontam.report(df.limit(0), bench).count() == 0
+    # Rows that share an id, or have none, with and without an item; and columns named like helpers.
+    item = bench.first().text
+    shared = spark.createDataFrame([(1, item), (1, "a clean text"), (None, "another clean text"), (None, f"so: {item}"), (2, "clean"), (2, None)], "doc_id long, text string")
+    shared = shared.withColumns({x: F.lit("x") for x in ("_leak", "of", "_of", "row", "hash", "view")})
+    left = decontam.without_leaks(shared, bench)
+    assert left.columns == shared.columns and sorted(str(r.text) for r in left.collect()) == ["None", "a clean text", "another clean text", "clean"]
+    assert sorted(r.contaminated for r in decontam.report(shared, bench).collect()) == [False] * 4 + [True] * 2
     assert not any(r.contaminated for r in decontam.report(df, bench.limit(0)).collect())
 
 
