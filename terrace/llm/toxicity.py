@@ -4,12 +4,15 @@ The lexicon is learnt from labelled documents: terms that many toxic and hardly
 a trie; a word is read by the automaton of all terms at once, whose states are sets of (trie node, edits so far), built
 lazily and kept, so most words fall out after a few letters. Every hit is weighed by its surroundings: inside quotation
 marks or after a word of reporting it counts as a mention, near other hits as abuse. Document features go into a
-logistic score whose weights come from the same bounded sample.
+logistic score whose weights come from the same bounded sample, and from copies of it: toxic texts with their terms
+misspelled, and other texts in which a term is quoted. A term allows no edits where these lead to words of texts
+without the label.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -28,6 +31,8 @@ TRAIN_DOCS, TRAIN_CHARS = 4_000, 20_000
 MIN_TOXIC, MIN_PLACES, MIN_SHARE, MIN_LETTERS = 4, 0.01, 0.97, 4
 #: What the weights are without data, and how strongly they are held there: misspelled hits are rare among labels.
 PRIOR, RIDGE = np.array([-3.5, 3.0, 2.0, 0.5, 1.0, 1.0, 1.5]), 0.5
+#: Hits of abuse never lower a score; only the bias and mentions may.
+LOWEST = np.array([-np.inf, 0.0, 0.0, -np.inf, 0.0, 0.0, 0.0])
 #: Words on either side of a hit within which other hits and words of reporting count, and quotation marks.
 CONTEXT, QUOTE = 6, 20
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -46,19 +51,19 @@ def edits_allowed(term: str) -> int:
 class Lexicon:
     """A trie of terms, read through Levenshtein automata of all of them at once.
 
-    A term that ends in ``*`` is a stem: any word that begins with it, letter for letter, matches.
+    A term that ends in ``*`` is a stem: any word that begins with it, within the edits its length allows, matches.
     """
 
-    def __init__(self, terms: list[str]) -> None:
-        self.terms = sorted(set(terms))
+    def __init__(self, terms: list[str], strict: frozenset[str] = frozenset()) -> None:
+        self.terms, self.strict = sorted(set(terms)), strict
+        self.allowed = [0 if t in strict else edits_allowed(t.rstrip("*")) for t in self.terms]
         self.stems: dict[int, int] = {}
         self.children: list[dict[str, int]] = [{}]
         self.term_at: list[int] = [-1]
         self.reach: list[int] = [0]  # most edits that a term below the node allows
         for i, t in enumerate(self.terms):
             node, stem = 0, t.endswith("*")
-            t = t.rstrip("*")
-            most = 0 if stem else edits_allowed(t)
+            t, most = t.rstrip("*"), self.allowed[i]
             self.reach[0] = max(self.reach[0], most)
             for c in t:
                 nxt = self.children[node].get(c)
@@ -98,10 +103,10 @@ class Lexicon:
         if got is None:
             got = self._ids[key] = len(self._sets)
             self._sets.append(key)
-            ends = [(cost, self.term_at[n]) for n, cost in key if self.term_at[n] >= 0 and cost <= edits_allowed(self.terms[self.term_at[n]])]
+            ends = [(cost, self.term_at[n]) for n, cost in key if self.term_at[n] >= 0 and cost <= self.allowed[self.term_at[n]]]
             self._final.append(min(ends) if ends else None)
-            begun = [self.stems[n] for n, cost in key if cost == 0 and n in self.stems]
-            self._begun.append((0, min(begun)) if begun else None)
+            begun = [(cost, self.stems[n]) for n, cost in key if n in self.stems and cost <= self.allowed[self.stems[n]]]
+            self._begun.append(min(begun) if begun else None)
         return got
 
     def _step(self, state: int, c: str) -> int:
@@ -120,34 +125,39 @@ class Lexicon:
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term number) of the nearest term within its allowance; None without one."""
         if len(self._steps) > 2_000_000:  # bounds memory; states are rebuilt
-            self.__init__(self.terms)
-        state = self.start
+            self.__init__(self.terms, self.strict)
+        state, best = self.start, None
         for c in word:
             key = (state, c if c in self.alphabet else "\0")
             state = self._steps.get(key, -2)
             if state == -2:
                 state = self._steps[key] = self._step(*key)
             if state < 0:
-                return None
-            if self._begun[state]:
-                return self._begun[state]
-        return self._final[state]
+                return best
+            begun = self._begun[state]
+            if begun:
+                if not begun[0]:
+                    return begun
+                best = begun if best is None else min(best, begun)
+        ends = self._final[state]
+        return best if ends is None else ends if best is None else min(best, ends)
 
 
 @dataclass
 class Model:
     terms: list[str]
     weights: np.ndarray
+    strict: frozenset[str] = frozenset()  # terms that must match letter for letter
     lexicon: Lexicon | None = field(default=None, compare=False)
     known: dict[str, tuple[int, int] | None] = field(default_factory=dict, compare=False)
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "weights": self.weights, "lexicon": None, "known": {}}
+        return {"terms": self.terms, "weights": self.weights, "strict": self.strict, "lexicon": None, "known": {}}
 
     def hits(self, text: str) -> list[dict]:
         """Every lexicon hit: word number, place, term, edits, and whether its window shows quotation."""
         if self.lexicon is None:
-            self.lexicon = Lexicon(self.terms)
+            self.lexicon = Lexicon(self.terms, self.strict)
         low = text.lower()
         known = self.known
         if len(known) > 400_000:
@@ -208,6 +218,31 @@ def _stems(around: dict[str, set], seen: Counter, n1: int, n0: int) -> list[str]
     return [g + "*" for g in good]
 
 
+def misspell(word: str, rng: random.Random) -> str:
+    """One edit away: a letter dropped, doubled or exchanged for its neighbour."""
+    i = rng.randrange(1, len(word) - 1)
+    return rng.choice((word[:i] + word[i + 1 :], word[:i] + word[i] + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :]))
+
+
+def _copies(rows: list[tuple[str, int]], model: Model) -> list[tuple[str, int]]:
+    """Toxic texts with their exact terms misspelled, where those allow it; and as many others with a quoted term."""
+    rng = random.Random(len(rows))
+    out = []
+    for t, _ in [r for r in rows if r[1]]:
+        hits = [h for h in model.hits(t) if h["edits"] == 0 and h["term"] not in model.strict and edits_allowed(h["term"].rstrip("*"))]
+        for h in reversed(hits):
+            t = t[: h["start"]] + misspell(t[h["start"] : h["end"]], rng) + t[h["end"] :]
+        if hits:
+            out.append((t, 1))
+    whole = [t for t in model.terms if not t.endswith("*")] or [t.rstrip("*") for t in model.terms]
+    clean = [t for t, y in rows if not y]
+    for t in clean[: sum(y for _, y in rows)]:
+        at = t.find(" ", len(t) // 2)
+        quote = f' {rng.choice(sorted(REPORTING))}: "{rng.choice(whole)}" '
+        out.append((t + quote if at < 0 else t[:at] + quote + t[at:], 0))
+    return out
+
+
 def learn(rows: list[tuple[str | None, int]]) -> Model:
     """Lexicon and weights from (text, label) examples. Without toxic examples every score is low."""
     rows = [(t or "", y) for t, y in rows]
@@ -229,10 +264,15 @@ def learn(rows: list[tuple[str | None, int]]) -> Model:
         toxic, other = len(places) / max(1, n1), seen[w] / max(1, n0)
         if len(places) >= least and len(w) >= MIN_LETTERS and toxic / (toxic + other) >= MIN_SHARE:
             terms.append(w)
-    model = Model(sorted(terms + _stems(around, seen, n1, n0)), PRIOR.copy())
-    terms = model.terms
+    terms = sorted(terms + _stems(around, seen, n1, n0))
     if not n1 or not terms:
-        return model
+        return Model(terms, PRIOR.copy())
+    lexicon = Lexicon(terms)
+    near = (lexicon.match(w) for w in seen)
+    model = Model(terms, PRIOR.copy(), frozenset(terms[m[1]] for m in near if m and m[0]))
+    rows += _copies(rows, model)
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
     x = np.stack([model.features(t) for t, _ in rows])
     y = np.array([y for _, y in rows], float)
     case = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * max(1, n0)))
@@ -246,11 +286,13 @@ def learn(rows: list[tuple[str | None, int]]) -> Model:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
         g = x.T @ (case * (p - y)) + RIDGE * (w - PRIOR)
         h = (x * (case * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
-        step, now = np.linalg.solve(h, g), loss(w)
-        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+        free = (w > LOWEST) | (g < 0)  # weights at their bound stay there unless the loss falls inside
+        step, now = np.zeros_like(w), loss(w)
+        step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+        while loss(np.maximum(w - step, LOWEST)) > now and np.abs(step).max() > 1e-9:
             step /= 2
-        w -= step
-        if np.abs(step).max() < 1e-7:
+        before, w = w, np.maximum(w - step, LOWEST)
+        if np.abs(w - before).max() < 1e-7:
             break
     model.weights = w
     return model

@@ -271,6 +271,41 @@ def test_toxicity_learns_terms_and_reads_context():
     assert m.score(None) == m.score("") < 0.7 and toxicity.learn([]).score("x") < 0.7
 
 
+def test_misspellings_and_quotations_decide(monkeypatch):
+    """Held-out toxic texts with every term misspelled are found, those with every term quoted are not; without the
+    automaton's edits, or without the windows, neither holds."""
+    rng = random.Random(17)
+    m = toxicity.learn(labelled(rng))
+    terms = ["worthless", "pathetic"]
+    toxic = [" ".join(rng.choice(terms) if w in (*terms, "moron") else w for w in t.split()) for t, y in labelled(rng) if y]
+    wrong = [" ".join(toxicity.misspell(w, rng) if w in terms else w for w in t.split()) for t in toxic]
+    quoted = [" ".join(f'he said "{w}"' if w in terms else w for w in t.split()) for t in toxic]
+    found = lambda model, ts: np.mean([model.score(t) >= 0.7 for t in ts])
+    assert found(m, toxic) > 0.95 and found(m, wrong) > 0.9 and found(m, quoted) < 0.1
+    assert m.weights[2] > 0 and found(toxicity.Model(m.terms, m.weights, frozenset(m.terms)), wrong) < 0.1
+    monkeypatch.setattr(toxicity, "REPORTING", frozenset())
+    monkeypatch.setattr(toxicity, "_OPEN", "")
+    assert found(m, quoted) > 0.9
+
+
+def test_terms_near_common_words_allow_no_edits():
+    rows = [("you utter throngist " * 3 + str(i), 0) for i in range(60)] + [(f"a{i} throngish b{i} throngish c{i}", 1) for i in range(20)]
+    m = toxicity.learn(rows)
+    assert "throngish" in m.terms and "throngish" in m.strict
+    assert not m.hits("throngist thronish") and m.hits("throngish")
+
+
+def test_score_equals_plain_arithmetic():
+    rng = random.Random(18)
+    m = toxicity.learn(labelled(rng))
+    for t, _ in labelled(rng, 60):
+        words = t.split()
+        at = [i for i, w in enumerate(words) if w in m.terms or any(w.startswith(x[:-1]) for x in m.terms if x.endswith("*"))]
+        crowded = sum(b - a <= 2 * toxicity.CONTEXT for a, b in zip(at, at[1:]))
+        x = [1, min(len(at), 3), 0, 0, min(crowded, 3), min(1, 20 * len(at) / (1 + len(t) / 6)), len(at) > 0]
+        assert abs(m.score(t) - 1 / (1 + np.exp(-sum(a * b for a, b in zip(x, m.weights))))) < 1e-9
+
+
 def test_toxicity_query_shape(spark):
     m = toxicity.learn(labelled(random.Random(8)))
     df = spark.createDataFrame([(1, "worthless moron"), (2, None), (None, ""), (1, "worthless moron")], "doc_id long, text string").withColumn("score", F.lit("clash"))
