@@ -122,7 +122,7 @@ _FROM, _TO = _accents()
 
 def strip_accents(c: Column) -> Column:
     """P12. Letters without their marks; combining marks go. Letters with a stroke have no mark and stay."""
-    return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}", "")).otherwise(c)
 
 
 def norm_name(c: Column, stroke: bool = False) -> Column:

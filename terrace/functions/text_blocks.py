@@ -59,7 +59,8 @@ def extract_blocks(df: DataFrame, col: str, pattern: str, names: list[str], keep
 def sections(df: DataFrame, col: str, marker: str, keep: list[str]) -> DataFrame:
     """T6. ``name, body``: the text between each named marker (group 1 of the pattern) and the next marker of any name."""
     names = F.regexp_extract_all(col, F.lit(marker), F.lit(1)).alias("name")
-    bodies = F.slice(F.split(col, marker, -1), 2, 1_000_000).alias("body")
+    parts = F.split(col, marker, -1)
+    bodies = F.slice(parts, F.lit(2), F.size(parts)).alias("body")
     return df.select(*keep, F.posexplode(F.arrays_zip(names, bodies)).alias("place", "s")).select(*keep, "place", "s.name", F.trim(F.col("s.body")).alias("body"))
 
 

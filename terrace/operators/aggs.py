@@ -75,14 +75,17 @@ def bias_report(df: DataFrame, group: str, y: str, pred: str, min_n: int = 30, k
     return low.unionByName(high)
 
 
-def medians(df: DataFrame, cols: list[str], fit: Column) -> dict[str, float]:
-    """A10. Medians over the rows to fit on."""
-    return df.filter(fit).agg(*[F.median(c).alias(c) for c in cols]).first().asDict()
+def medians(df: DataFrame, cols: list[str], fit: Column) -> DataFrame:
+    """A10. One row: medians over the rows to fit on."""
+    return df.filter(fit).agg(*[F.median(c).alias(c) for c in cols])
 
 
 def median_impute(df: DataFrame, cols: list[str], fit: Column) -> DataFrame:
-    """A10. Gaps filled by the median of the fit rows; a column without any value there keeps its gaps."""
-    return df.fillna({c: v for c, v in medians(df, cols, fit).items() if v is not None})
+    """A10. Gaps filled by the median of the fit rows; a column without any value there keeps its gaps. Nothing runs
+    while the plan is made: the medians are one row that joins."""
+    m = F.broadcast(medians(df, cols, fit).alias("m"))
+    filled = [F.coalesce(f"d.{c}", f"m.{c}").alias(c) if c in cols else F.col(f"d.{c}") for c in df.columns]
+    return df.alias("d").join(m).select(*filled)
 
 
 def compare_models(df: DataFrame, a: str, b: str, n: str) -> DataFrame:

@@ -24,9 +24,8 @@ def majority(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """D3. The most frequent value of each key (smallest on ties), its count, and how many values the key has."""
     votes = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
     # Counted first, so a group has one row per value.
-    best = votes.groupBy(*keys).agg(F.max(F.struct("n", F.lit(0).alias("_"))).alias("_m"), F.count("*").alias("n_values"))
-    top = votes.join(best.select(*keys, F.col("_m.n").alias("n"), "n_values"), [*keys, "n"])
-    return top.groupBy(*keys).agg(F.min(value).alias(value), F.first("n").alias("n"), F.first("n_values").alias("n_values"))
+    best = votes.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("less"), F.col(value).alias("value"))).alias("best"), F.count("*").alias("n_values"))
+    return best.select(*keys, F.col("best.value").alias(value), (-F.col("best.less")).alias("n"), "n_values")
 
 
 def ambiguous_keys(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -40,9 +40,8 @@ def best_match(names: DataFrame, roster: DataFrame, block: list[str], key: str,
     """J6. The best candidate of each key inside its block over all its spellings, if its score reaches the least; many
     keys may get the same. ``score`` is an expression over both sides; ties go to the smallest candidate."""
     pairs = names.join(roster, block).withColumn("score", score).filter(F.col("score") >= min_score)
-    best = pairs.groupBy(*block, key).agg(F.max_by(F.struct(candidate, "score"), F.struct(F.col("score"), F.lit(0))).alias("_"), F.max("score").alias("score"))
-    top = pairs.join(best.select(*block, key, "score"), [*block, key, "score"])
-    return top.groupBy(*block, key, "score").agg(F.min(candidate).alias(candidate))
+    best = pairs.groupBy(*block, key).agg(F.min(F.struct((-F.col("score")).alias("less"), F.col(candidate).alias("candidate"))).alias("best"))
+    return best.select(*block, key, (-F.col("best.less")).alias("score"), F.col("best.candidate").alias(candidate))
 
 
 def contains_match(left: DataFrame, right: DataFrame, block: list[str], key: str, a: str, b: str, order: str) -> DataFrame:

@@ -17,22 +17,20 @@ def player_lags(df: DataFrame, player: str, order: list[str], specs: dict[str, t
 
 def season_features(df: DataFrame, player: str, season: str, metrics: list[str], span: int = 3) -> DataFrame:
     """W7 to W11. For each metric: last season's value (null after a gap), mean, population spread and trend over the
-    seasons of the last three that exist (spread and trend need two), mean over all earlier seasons; and how many those
-    are. The trend is the least-squares slope over places 0..n-1 of the existing seasons, which for up to three values
+    seasons of the last three that have one (spread and trend need two), mean over all earlier seasons; and how many
+    seasons came earlier. The trend is the least-squares slope over places 0..n-1 of the values, which for up to three
     is (last - first) / (n - 1)."""
     if span > 3:
         raise ValueError("the closed form of the trend holds for up to three seasons")
     w = Window.partitionBy(player).orderBy(season)
     near, far = w.rangeBetween(-span, -1), w.rangeBetween(Window.unboundedPreceding, -1)
-    n = F.count("*").over(near)
 
     def of(m: str) -> list[Column]:
-        v = F.struct(F.col(m).alias("v"))
-        first, last = F.first(v).over(near)["v"], F.last(v).over(near)["v"]
+        n, first, last = F.count(m).over(near), F.first(m, ignorenulls=True).over(near), F.last(m, ignorenulls=True).over(near)
         return [
             F.avg(m).over(w.rangeBetween(-1, -1)).alias(f"{m}_lag1"),
             F.avg(m).over(near).alias(f"{m}_mean"),
-            F.when(F.count(m).over(near) >= 2, F.stddev_pop(m).over(near)).alias(f"{m}_std"),
+            F.when(n >= 2, F.stddev_pop(m).over(near)).alias(f"{m}_std"),
             F.when(n >= 2, (last - first) / (n - 1)).alias(f"{m}_trend"),
             F.avg(m).over(far).alias(f"{m}_career"),
         ]

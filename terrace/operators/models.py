@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,30 +85,62 @@ def walk_forward_ar1(df: DataFrame, key: str, order: list[str], y: str, fit: Col
     return lagged.join(c, key).withColumn("forecast", F.col("at0") + F.col("slope") * F.col("_lag")).drop("_lag")
 
 
-def ar_coefficients(df: DataFrame, key: str, order: list[str], y: str, exog: list[str], orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """M5. Per key, the order with the least AIC and its coefficients (constant, lags, inputs) by least squares.
-
-    Lags are made by windows before the grouping, so the helper only solves: a group is one key's history.
-    """
+def _lagged(df: DataFrame, key: str, order: list[str], y: str, exog: list[str], most: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
-    rows = df.select(key, F.col(y).cast("double").alias("_y"), *[F.lag(y, k).over(w).cast("double").alias(f"_l{k}") for k in range(1, max(orders) + 1)], *[F.col(x).cast("double").alias(x) for x in exog])
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        best = None
-        for p in orders:
-            d = g[["_y", *[f"_l{k}" for k in range(1, p + 1)], *exog]].dropna()
-            n, m = len(d), d.shape[1]
-            if n <= m + 1:
-                continue
-            a = np.column_stack([np.ones(n), d.iloc[:, 1:].to_numpy()])
-            b, *_ = np.linalg.lstsq(a, d["_y"].to_numpy(), rcond=None)
-            rss = float(((d["_y"].to_numpy() - a @ b) ** 2).sum())
-            aic = n * np.log(max(rss / n, 1e-300)) + 2 * m
-            if best is None or aic < best[0]:
-                best = (aic, p, n, [float(v) for v in b])
-        if best is None:
-            return pd.DataFrame(columns=[key, "p", "n", "aic", "coefficients"])
-        return pd.DataFrame({key: [g[key].iloc[0]], "p": [best[1]], "n": [best[2]], "aic": [best[0]], "coefficients": [best[3]]})
-
-    kind = dict(df.dtypes)[key]
-    return rows.groupBy(key).applyInPandas(solve, f"{key} {kind}, p int, n bigint, aic double, coefficients array<double>")
+    return df.withColumns({"_y": F.col(y).cast("double")} | {f"_x{k}": F.lag(y, k).over(w).cast("double") for k in range(1, most + 1)} | {f"_z{i}": F.col(x).cast("double") for i, x in enumerate(exog)})
+
+
+def _fitted(rows: DataFrame, key: str, n_exog: int, orders: tuple[int, ...]) -> DataFrame:
+    most = max(orders)
+    names = [*[f"_x{k}" for k in range(1, most + 1)], *[f"_z{i}" for i in range(n_exog)], "_y"]
+    whole = rows.dropna(subset=names).select(key, F.lit(1.0).alias("_1"), *names)
+    cols = ["_1", *names]
+    # All orders are fitted on the rows that have the longest lag, so their criteria compare. Sums combine before the
+    # shuffle: a key's history never comes together.
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    grams = whole.groupBy(key).agg(*sums)
+    kind, size = dict(rows.dtypes)[key], len(cols)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            out = []
+            for r in g.to_dict("records"):
+                s = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
+                n, best = int(s[0, 0]), None
+                for p in orders:
+                    use = [0, *range(1, p + 1), *range(most + 1, most + 1 + n_exog)]
+                    m = len(use)
+                    if n <= m + 1:
+                        continue
+                    b = np.linalg.lstsq(s[np.ix_(use, use)], s[use, -1], rcond=None)[0]
+                    rss = max(float(s[-1, -1] - 2 * b @ s[use, -1] + b @ s[np.ix_(use, use)] @ b), 0.0)
+                    aic = n * np.log(max(rss / n, 1e-300)) + 2 * m
+                    if best is None or aic < best[0]:
+                        best = (aic, p, n, [float(v) for v in b])
+                if best is not None:
+                    out.append((r[key], best[1], best[2], best[0], best[3]))
+            yield pd.DataFrame(out, columns=[key, "p", "n", "aic", "coefficients"])
+
+    return grams.mapInPandas(solve, f"{key} {kind}, p int, n bigint, aic double, coefficients array<double>")
+
+
+def ar_coefficients(df: DataFrame, key: str, order: list[str], y: str, exog: list[str], orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """M5. Per key, the order with the least AIC and its coefficients (constant, lags, inputs) by least squares: sums of
+    products per key by Spark, then one small system of equations a key. Rows with a gap are left out; a key with too few
+    rows has no result."""
+    return _fitted(_lagged(df, key, order, y, exog, max(orders)), key, len(exog), orders)
+
+
+def walk_forward_ar(df: DataFrame, key: str, order: list[str], y: str, exog: list[str], fit: Column, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """M5. Forecasts with each key's chosen order and inputs: coefficients from the fit rows, then frozen; each row's
+    forecast uses the true values before it and its own inputs. Null where one of them, or the key's fit, is missing."""
+    most = max(orders)
+    rows = _lagged(df, key, order, y, exog, most)
+    c = _fitted(rows.filter(fit), key, len(exog), orders).select(key, "p", F.col("coefficients").alias("_c"))
+    at = lambda i: F.get("_c", i)
+    forecast = at(F.lit(0))
+    for k in range(1, most + 1):
+        forecast = forecast + F.when(F.col("p") >= k, at(F.lit(k)) * F.col(f"_x{k}")).otherwise(F.when(F.col("p").isNotNull(), 0.0))
+    for i in range(len(exog)):
+        forecast = forecast + at(F.col("p") + 1 + i) * F.col(f"_z{i}")
+    return rows.join(c, key, "left").select(*df.columns, "p", forecast.alias("forecast"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block beyond which an assignment is refused: blocks are line-ups of tens, so more is a fault of the data.
-MOST_PAIRS = 100_000
+from terrace.operators.rounds import settled
 
 
 def name_score(short: Column, full: Column, contains: float = 0.0) -> Column:
@@ -31,21 +29,17 @@ def name_score(short: Column, full: Column, contains: float = 0.0) -> Column:
 def greedy_match(pairs: DataFrame, block: list[str], a: str, b: str, score: str) -> DataFrame:
     """J5. Pairs by falling score (then a, then b); each side is used once in its block.
 
-    The walk is sequential inside a block, so a block goes to one task: it is a line-up of tens. A block with more than
-    ``MOST_PAIRS`` pairs is an error, not a cut.
+    Done in rounds instead of a walk: a pair that is the first of both its sides is one the walk would take, whatever
+    else the block holds. The pairs of taken sides leave, and what is left goes into the next round. Groupings combine
+    before the shuffle, so a block of any size is spread over many tasks.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MOST_PAIRS:
-            raise ValueError(f"a block has {len(rows)} pairs")
-        used_a, used_b, kept = set(), set(), []
-        rows = rows.sort_values([score, a, b], ascending=[False, True, True])
-        for i, x, y in zip(rows.index, rows[a], rows[b], strict=True):
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                kept.append(i)
-        return rows.loc[kept]
-
-    cols = pairs.select(*block, a, b, score)
-    return cols.groupBy(*block).applyInPandas(walk, cols.schema)
+    left = settled(pairs.select(*block, a, b, score).filter(F.col(score).isNotNull()).distinct())
+    taken = left.limit(0)
+    order = F.struct((-F.col(score)).alias("s"), F.col(a).alias("x"), F.col(b).alias("y"))
+    while not left.isEmpty():
+        by_a, by_b = (left.groupBy(*block, side).agg(F.min(order).alias(name)) for side, name in ((a, "first_a"), (b, "first_b")))
+        best = left.join(by_a, [*block, a]).join(by_b, [*block, b]).filter((F.col("first_a") == order) & (F.col("first_b") == order))
+        best = settled(best.select(*left.columns))
+        taken = taken.unionByName(best)
+        left = settled(left.join(best.select(*block, a), [*block, a], "left_anti").join(best.select(*block, b), [*block, b], "left_anti"))
+    return taken

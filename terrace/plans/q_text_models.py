@@ -128,6 +128,13 @@ def m5b(spark, d):
     return models.ar_coefficients(r, "player", ["season", "round", "match_id"], "rating", ["click"])
 
 
+@query("m5_walk_forward_ar")
+def m5c(spark, d):
+    r = split_ratings(spark, d).withColumn("click", (F.col("source") == "click").cast("double"))
+    f = models.walk_forward_ar(r, "player", ["season", "round", "match_id"], "rating", ["click"], F.col("split").isin("train", "val"))
+    return f.filter("split = 'test'").select("match_id", "player", "p", F.round("forecast", 6).alias("forecast"))
+
+
 @query(
     "m2_baselines",
     f"""WITH {RATINGS_SQL}, s AS (SELECT *, {_SPLIT} AS split, CAST(round AS DOUBLE) AS x, lag(rating) OVER w AS last, avg(rating) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS own FROM ratings WINDOW w AS (PARTITION BY player ORDER BY round, match_id)),

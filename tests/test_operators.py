@@ -107,6 +107,13 @@ def test_season_window_closes_gaps_in_the_trend(spark):
     assert sorted((x.season, x.prev_v) for x in prev) == [(9, 3.0), (10, 7.0)]
 
 
+def test_seasons_without_a_value_leave_the_trend(spark):
+    df = spark.createDataFrame([("p", 1, 1.0), ("p", 2, None), ("p", 3, 3.0), ("p", 4, None), ("p", 5, 0.0), ("q", 1, None), ("q", 2, None)], "p string, season int, v double")
+    r = {(x.p, x.season): x for x in lags.season_features(df, "p", "season", ["v"]).collect()}
+    assert r["p", 4].v_trend == 2.0 and r["p", 4].v_mean == 2.0 and r["p", 4].earlier_seasons == 3
+    assert r["p", 5].v_trend is None and r["p", 5].v_lag1 is None and r["q", 2].v_trend is None
+
+
 def test_injuries_without_any_are_zero(spark):
     spine = spark.createDataFrame([("a", 3), ("b", 3)], "p string, season int")
     e = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 7.0), ("a", 3, 9.0)], "p string, season int, d double")
@@ -196,6 +203,47 @@ def test_html_entities(spark):
     assert one(spark, tb.html_to_text(F.lit("<p>Caff&egrave;&nbsp;&amp; <b>t&#232;</b></p>"))) == "Caffè & tè"
 
 
+def test_greedy_rounds_equal_the_walk(spark):
+    rng = np.random.default_rng(4)
+    rows = sorted({(f"g{g}", f"a{a}", f"b{b}", float(s)) for g, a, b, s in zip(rng.integers(0, 3, 300), rng.integers(0, 14, 300), rng.integers(0, 14, 300), rng.integers(0, 4, 300))})
+    rows = list({(g, a, b): (g, a, b, s) for g, a, b, s in rows}.values())
+    used, want = set(), set()
+    for g, a, b, s in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if (g, "a", a) not in used and (g, "b", b) not in used:
+            used |= {(g, "a", a), (g, "b", b)}
+            want.add((g, a, b, s))
+    pairs = spark.createDataFrame(rows, "g string, a string, b string, score double")
+    assert {tuple(r) for r in names.greedy_match(pairs, ["g"], "a", "b", "score").collect()} == want
+    assert names.greedy_match(pairs.limit(0), ["g"], "a", "b", "score").count() == 0
+
+
+def test_autoregression_equals_least_squares(spark):
+    """Orders and inputs against a plain solver: all orders on the rows that have the longest lag."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k, c in (("one", (0.7, 0.0)), ("two", (0.2, 0.6))):
+        y = [0.0, 0.5]
+        z = rng.normal(size=120)
+        for t in range(2, 120):
+            y.append(0.3 + c[0] * y[-1] + c[1] * y[-2] + 0.8 * z[t] + rng.normal(0, 0.2))
+        rows += [(k, t, float(y[t]), float(z[t])) for t in range(120)]
+    df = spark.createDataFrame([*rows, ("short", 0, 1.0, 1.0), ("short", 1, 2.0, 1.0)], "k string, t int, y double, z double")
+    got = {(r.k, r.t): r for r in models.walk_forward_ar(df, "k", ["t"], "y", ["z"], F.col("t") < 90).collect()}
+    for k in ("one", "two"):
+        y, z = (np.array([r[i] for r in rows if r[0] == k]) for i in (2, 3))
+        at = np.arange(3, 90)
+        best = None
+        for p in (1, 2, 3):
+            a = np.column_stack([np.ones(len(at)), *[y[at - j] for j in range(1, p + 1)], z[at]])
+            b = np.linalg.lstsq(a, y[at], rcond=None)[0]
+            aic = len(at) * np.log(((y[at] - a @ b) ** 2).mean()) + 2 * a.shape[1]
+            best = min(best, (aic, p, b.tolist())) if best else (aic, p, b.tolist())
+        _, p, b = best
+        for t in range(90, 120):
+            assert got[k, t].p == p and got[k, t].forecast == pytest.approx(b[0] + sum(b[j] * y[t - j] for j in range(1, p + 1)) + b[-1] * z[t], abs=1e-6)
+    assert got["one", 0].forecast is None and got["short", 1].forecast is None
+
+
 def test_ar_coefficients_recover_a_known_process(spark):
     rng = np.random.default_rng(0)
     y = [0.0]
