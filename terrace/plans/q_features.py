@@ -100,12 +100,22 @@ def _pairs(spark, d):
     return a.join(b, ["p_brand", "p_type"]).withColumn("score", names.name_score(F.col("short"), F.col("full"), 0.5)).filter("score is not null")
 
 
-@query("j4_name_score", f"WITH {_BLOCK}, a AS (SELECT DISTINCT p_brand, p_type, short FROM p), b AS (SELECT DISTINCT p_brand, p_type, p_name AS \"full\" FROM p) SELECT p_brand, p_type, short, \"full\", CASE WHEN short = \"full\" THEN 3.0::DOUBLE WHEN list_contains(string_split(\"full\", ' '), short) THEN 2.0::DOUBLE WHEN ends_with(\"full\", short) THEN 1.0::DOUBLE WHEN contains(\"full\", short) THEN 0.5::DOUBLE END AS score FROM a JOIN b USING (p_brand, p_type) WHERE contains(\"full\", short)")
+#: Pairs of a short and a full name inside a block with their score, and the walk over them by falling score: a step per
+#: pair, with the names used so far.
+_SCORED = f"""{_BLOCK}, a AS (SELECT DISTINCT p_brand, p_type, short FROM p), b AS (SELECT DISTINCT p_brand, p_type, p_name AS "full" FROM p), scored AS (SELECT p_brand, p_type, short, "full", CASE WHEN short = "full" THEN 3.0::DOUBLE WHEN list_contains(string_split("full", ' '), short) THEN 2.0::DOUBLE WHEN ends_with("full", short) THEN 1.0::DOUBLE WHEN contains("full", short) THEN 0.5::DOUBLE END AS score FROM a JOIN b USING (p_brand, p_type) WHERE contains("full", short))"""
+_WALK = f"""{_SCORED}, steps AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY score DESC, short, "full") AS i FROM scored),
+  walk AS (SELECT DISTINCT p_brand, p_type, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS a, CAST([] AS VARCHAR[]) AS b, false AS taken FROM scored
+    UNION ALL SELECT p_brand, p_type, i, CASE WHEN free THEN list_append(a, short) ELSE a END, CASE WHEN free THEN list_append(b, "full") ELSE b END, free
+    FROM (SELECT w.p_brand, w.p_type, s.i, w.a, w.b, s.short, s."full", NOT list_contains(w.a, s.short) AND NOT list_contains(w.b, s."full") AS free FROM walk w JOIN steps s ON s.p_brand = w.p_brand AND s.p_type = w.p_type AND s.i = w.i + 1)),
+  won AS (SELECT s.p_brand, s.p_type, s.short, s."full", s.score FROM walk w JOIN steps s ON s.p_brand = w.p_brand AND s.p_type = w.p_type AND s.i = w.i WHERE w.taken)"""
+
+
+@query("j4_name_score", f"WITH {_SCORED} SELECT * FROM scored")
 def j4(spark, d):
     return _pairs(spark, d)
 
 
-@query("j5_greedy_match")
+@query("j5_greedy_match", f"WITH RECURSIVE {_WALK} SELECT * FROM won")
 def j5(spark, d):
     return names.greedy_match(_pairs(spark, d), ["p_brand", "p_type"], "short", "full", "score")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrace.functions.scalars import norm_name, select_base
 from terrace.operators import aggs, dedup, guards, inference, joins, lags, names, ranking, standings
 from terrace.plans.bindings import RATINGS_SQL, ratings, sides, t
-from terrace.plans.q_features import _SPEND, _STAND, _pairs, spend
+from terrace.plans.q_features import _SPEND, _STAND, _WALK, _pairs, spend
 from terrace.plans.registry import query
 
 
@@ -64,7 +64,11 @@ def report(spark, d):
     return ranking.top_k(best, ["all"], F.col("mean"), 10, ["player"]).drop("all")
 
 
-@query("job_identity")
+@query(
+    "job_identity",
+    f"""WITH RECURSIVE {_WALK}, v AS (SELECT p_brand, short, "full", count(*) AS n FROM won GROUP BY ALL)
+    SELECT p_brand, short, "full", n, CAST(count(*) OVER (PARTITION BY p_brand, short) AS BIGINT) AS n_values FROM v QUALIFY row_number() OVER (PARTITION BY p_brand, short ORDER BY n DESC, "full") = 1""",
+)
 def identity(spark, d):
     """Job D: names inside blocks, scored, assigned one to one, voted over the blocks of a brand."""
     won = names.greedy_match(_pairs(spark, d), ["p_brand", "p_type"], "short", "full", "score")
