@@ -2,15 +2,19 @@
 
 A value's symbols (digits, letters of either case, octets, day numbers) are permuted by an alternating Feistel network:
 in even rounds the left half is shifted by a keyed stream drawn from the right half, in odd rounds the other way round,
-each symbol modulo its own alphabet. That is a keyed permutation of the values of one format, so equal values stay
-equal in every document, different values stay different, and no table of values is kept.
+each symbol modulo its own alphabet. The stream is SHA-256 under the key. That is a keyed permutation of the values of
+one format, so equal values stay equal in every document, different values stay different, and no table of values is kept.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.llm.common import fresh_name
+
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31, held as two symbols below DAY_SIDE; what falls outside walks on.
 FIRST_DAY, DAYS, DAY_SIDE, WALK = "1900-01-01", 73049, 271, 24
@@ -32,18 +36,27 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 def permute(symbols: Column, sizes: Column, key: str, kind: str, rounds: int = ROUNDS) -> Column:
     """Feistel permutation of an array of numbers, each below its entry in ``sizes``. One symbol is shifted by a
-    stream of the key alone."""
+    stream of the key alone.
+
+    A round's seed is a nested SHA-256 of the key, the kind, the number of symbols, the round and the other half; symbol
+    i is shifted by the first 60 bits of SHA-256 of seed and i.
+    """
+    secret = hashlib.sha256(key.encode()).hexdigest()
     n = F.size(symbols)
     half = F.floor(n / 2).cast("int")
+    text = lambda *parts: F.concat_ws("|", *[p.cast("string") for p in parts])
+    sha = lambda *parts: F.sha2(text(*parts), 256)
 
     def step(v: Column, r: Column) -> Column:
         left = r % 2 == 0
-        seed = F.xxhash64(
-            F.lit(key), F.lit(kind), n, r, F.array_join(F.when(left, F.slice(v, half + 1, n - half)).otherwise(F.slice(v, F.lit(1), half)).cast("array<string>"), ",")
-        )
+        other = F.when(left, F.slice(v, half + 1, n - half)).otherwise(F.slice(v, F.lit(1), half))
+        inner = sha(F.lit(secret), F.lit(kind), n, r, F.array_join(other.cast("array<string>"), ","))
         mine = lambda i: F.when(left, i < half).otherwise(i >= half)
-        shift = lambda x, i: F.pmod(x + F.pmod(F.xxhash64(seed, i), F.element_at(sizes, i + 1).cast("long")), F.element_at(sizes, i + 1).cast("long"))
-        return F.transform(v, lambda x, i: F.when(mine(i), shift(x, i)).otherwise(x))
+        by = lambda seed, i: F.conv(F.substring(sha(seed, i), 1, 15), 16, 10).cast("bigint")
+        shift = lambda seed, x, i: F.pmod(x + F.pmod(by(seed, i), F.element_at(sizes, i + 1)), F.element_at(sizes, i + 1))
+        # The seed stands in an array of its own, so it is made once a round and not once a symbol.
+        moved = F.transform(F.array(sha(F.lit(secret), inner)), lambda seed: F.transform(v, lambda x, i: F.when(mine(i), shift(seed, x, i)).otherwise(x)))
+        return moved[0]
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), symbols.cast("array<bigint>"), step)
 
@@ -170,6 +183,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Null texts stay null, empty ones empty; values that fail validation stay as they are. All other columns stay; a
     column named ``pii_kinds`` is replaced. Every row is treated alone, so repeated rows give equal rows.
+    Whoever has the key can undo the pseudonyms: it belongs in a secret store, not in the source.
     """
     body = F.col(text)
     # Only texts with a digit or an at sign can hold a value: the rest skips the long pattern.
@@ -177,10 +191,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = F.when(some, F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     # Adjacent columns of one select would each repeat the pattern; structs inside one array keep it to one pass.
     kinds = F.transform(F.array(found), lambda m: F.transform(m, lambda v: F.struct(kind_of(v).alias("k"), v.alias("v"))))[0]
-    staged = docs.withColumn("_pii", kinds)
-    moved = F.transform(F.col("_pii"), lambda s: pseudonym(s["v"], s["k"], key))
+    at = fresh_name(docs, "pii")
+    staged = docs.withColumn(at, kinds)
+    moved = F.transform(F.col(at), lambda s: pseudonym(s["v"], s["k"], key))
     gaps = F.split(body, ANY, -1)
     joined = F.array_join(F.zip_with(gaps, moved, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    out = F.when(F.size("_pii") > 0, joined).otherwise(body)
-    kept = F.filter(F.transform(F.col("_pii"), lambda s: s["k"]), lambda k: k.isNotNull())
-    return staged.withColumns({text: out, "pii_kinds": F.coalesce(kept, F.array().cast("array<string>"))}).drop("_pii")
+    out = F.when(F.size(at) > 0, joined).otherwise(body)
+    kept = F.filter(F.transform(F.col(at), lambda s: s["k"]), lambda k: k.isNotNull())
+    return staged.withColumns({text: out, "pii_kinds": F.coalesce(kept, F.array().cast("array<string>"))}).drop(at)

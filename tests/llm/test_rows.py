@@ -1,12 +1,13 @@
 """Operators that treat rows alone: sharding, rules, pseudonyms, templates, classifiers."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from terrace.llm import decontam, pii, quality, rules, sharding, toxicity
@@ -87,30 +88,19 @@ def test_rules_reject_a_text_of_repeats_and_keep_prose():
     assert rules.repetition(long)["n_words"] == 200_000
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
 def slow_permute(symbols, sizes, key, kind, rounds=pii.ROUNDS):
-    """The network again, with the xxhash library in place of Spark's function (int32 and int64 arguments are hashed as
-    4 and 8 bytes, each argument seeded with the hash before it)."""
-
-    def spark_hash(*args):
-        h = 42
-        for a in args:
-            data = a.encode() if isinstance(a, str) else a
-            h = xxhash.xxh64_intdigest(data, h)
-        return signed(h)
-
+    """The network again, with hashlib in place of Spark's function."""
+    sha = lambda *parts: hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+    secret = hashlib.sha256(key.encode()).hexdigest()
     n, v = len(symbols), list(symbols)
     half = n // 2
     for r in range(rounds):
         left = r % 2 == 0
         other = v[half:] if left else v[:half]
-        seed = spark_hash(key, kind, n.to_bytes(4, "little"), r.to_bytes(4, "little"), ",".join(map(str, other)))
+        seed = sha(secret, sha(secret, kind, n, r, ",".join(map(str, other))))
         for i in range(n):
             if (i < half) == left:
-                v[i] = (v[i] + spark_hash((seed & (2**64 - 1)).to_bytes(8, "little"), i.to_bytes(4, "little")) % sizes[i]) % sizes[i]
+                v[i] = (v[i] + int(sha(seed, i)[:15], 16) % sizes[i]) % sizes[i]
     return v
 
 
@@ -162,6 +152,21 @@ def test_values_keep_their_format_and_stay_linked(spark):
     assert pii.pseudonymise(df.limit(0), "key").count() == 0
 
 
+def test_pseudonyms_in_odd_tables(spark):
+    """A very long text, repeated rows, no id, and columns named like helpers."""
+    card, filler = PRIVATE["card"], "many plain words without any value. "
+    long = f"{filler * 40_000}{card} {filler * 10}"
+    rows = [(1, long), (2, f"pay {card} now"), (2, f"pay {card} now"), (None, f"pay {card} now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("pii", "_pii", "k", "v")})
+    out = pii.pseudonymise(df, "key")
+    assert out.columns == [*df.columns, "pii_kinds"]
+    got = out.collect()
+    assert all((r.pii, r._pii, r.k, r.v, r.pii_kinds) == ("x", "x", "x", "x", ["card"]) for r in got)
+    (short,) = {r.text for r in got if r.doc_id != 1}
+    moved = short.split()[1]
+    assert moved != card and next(r.text for r in got if r.doc_id == 1) == long.replace(card, moved)
+
+
 def test_dates_map_one_to_one(spark):
     days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1999-06-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = [r.text for r in pii.pseudonymise(days, "key").collect()]
@@ -358,3 +363,57 @@ def test_training_rows_stay_outside_the_held_out_part(spark):
     assert len(rows) == 60 and sum(y for _, y in rows) == 30
     assert all(zlib.crc32(t[1:].encode()) % 5 for t, _ in rows)
     assert quality.training_rows(docs, labels.limit(0), "quality", 5, 0, 60, 900) == []
+
+
+def slow_score(net, text):
+    """The network's forward pass with plain loops; a byte is marked where its word of two bytes or more equals the one
+    right before it."""
+    data = (text or "").encode()
+    words, marks = [b""], []
+    for c in data:
+        if c <= 32:
+            words.append(b"")
+        else:
+            words[-1] += bytes([c])
+    for k, w in enumerate(words):
+        again = k > 0 and len(w) > 1 and w == words[k - 1]
+        marks += ([False] if k else []) + [again] * len(w)
+    codes = [c + 256 * m for c, m in zip(data, marks, strict=True)]
+    while len(codes) < quality.WIDTH or (len(codes) - quality.WIDTH) % quality.STEP:
+        codes.append(32)
+    responses = []
+    for at in range(0, len(codes) - quality.WIDTH + 1, quality.STEP):
+        x = [float(v) for c in codes[at : at + quality.WIDTH] for v in net.embed[c]]
+        responses.append([sum(a * float(f) for a, f in zip(x, net.filters[:, k], strict=True)) + float(net.bias[k]) for k in range(quality.FILTERS)])
+    pools = [responses[k : k + quality.POOL] for k in range(0, len(responses), quality.POOL)]
+    top = [[max(0.0, max(r[k] for r in p)) for k in range(quality.FILTERS)] for p in pools]
+    features = [max(p[k] for p in top) for k in range(quality.FILTERS)] + [sum(p[k] for p in top) / len(top) for k in range(quality.FILTERS)]
+    z = sum(a * float(d) for a, d in zip(features, net.dense, strict=True)) + float(net.offset[0])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_score_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(8)
+    net = quality.train([("good words in a row " * 9, 1), ("bad bad bad *** " * 9, 0)] * 8)
+    net.bias[:] = rng.normal(0, 0.3, len(net.bias))
+    texts = [None, "", "a", "one two", "12345678", "123456789", "the the cat cat é é sat", "a a bb bb bb\nbb", " ".join(f"w{i % 7} w{i % 5}" for i in range(400))]
+    for t in texts:
+        assert net.score(t) == pytest.approx(slow_score(net, t), abs=1e-4), t
+
+
+def test_classifiers_on_odd_tables(spark):
+    """No rows, no id, repeated rows, no text, a very long text, and columns named like results."""
+    net = quality.train([("good words in a row " * 9, 1), ("bad bad bad *** " * 9, 0)] * 8)
+    long = "good words in a row " * 50_000
+    rows = [(1, "good words"), (1, "good words"), (None, "good words"), (2, None), (3, ""), (4, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "predicted", "held_out", "y")})
+    got = quality.score_quality(df, net).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    assert len({r.score for r in got if r.doc_id in (1, None)}) == 1 and len({r.score for r in got if r.doc_id in (2, 3)}) == 1
+    assert next(r.score for r in got if r.doc_id == 4) == pytest.approx(net.score(long))
+    assert quality.score_quality(df.limit(0), net).count() == 0
+    kept = quality.keep_good(df, net, cut=0.0)
+    assert kept.columns == df.columns and kept.count() == len(rows) and quality.keep_good(df.limit(0), net).count() == 0
+    nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    empty = quality.fit_quality(df, nothing)
+    assert {r.predicted for r in quality.score_quality(df, empty).collect()} == {1}  # no labels: one half for all
