@@ -107,13 +107,6 @@ def zip_sources(df: DataFrame, arrays: list[str], names: str, keep: list[str]) -
     return rows.filter(some).select(*keep, source.alias("source"), *[F.col(f"z.{a}").alias(a) for a in arrays])
 
 
-def assemble_sheet(rated: DataFrame, contests: DataFrame, unavailable: DataFrame, kickers: DataFrame, key: list[str]) -> DataFrame:
-    """T12. A row per rated player with the contest's percentage, whether and why unavailable, the set pieces; a starter
-    is one with 50 percent or more, unknown without a contest."""
-    out = rated.join(contests.select(*key, "pct"), key, "left").join(unavailable.select(*key, "reason"), key, "left").join(kickers.select(*key, "set_piece").withColumn("kicks", F.lit(True)), key, "left")
-    return out.select(*rated.columns, "pct", (F.col("pct") >= 50).alias("starter"), F.col("reason").isNotNull().alias("unavailable"), "reason", F.coalesce("kicks", F.lit(False)).alias("kicks"), "set_piece")
-
-
 def bonus_columns(df: DataFrame, arr: str, titles: dict[str, str], cards: str, card_classes: dict[str, str]) -> DataFrame:
     """T13. Bonus values by title (``titles``: column -> title; absent is 0.0), and flags for classes that any source's list holds."""
     m = last_entries(F.col(arr), "title", "value")

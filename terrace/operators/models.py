@@ -25,18 +25,20 @@ def _with_gaps(df: DataFrame, features: list[str], cats: list[str]) -> DataFrame
     return df.withColumns({f"_n_{c}": F.col(c).isNull().cast("double") for c in features if c not in cats} | {c: F.coalesce(F.col(c), F.lit("")) for c in cats} | {c: F.col(c).cast("double") for c in features if c not in cats})
 
 
-def train_targets(df: DataFrame, targets: list[str], features: list[str], cats: list[str] = [], max_iter: int = 40, max_depth: int = 5, min_leaf: int = 15, seed: int = 42) -> dict:  # noqa: B006
+def train_targets(df: DataFrame, targets: list[str], features: list[str], cats: list[str] = [], max_iter: int = 40, max_depth: int = 5, min_leaf: int = 15, seed: int = 42, share: float = 0.85, leaves: int | None = None) -> dict:  # noqa: B006
     """M1. A pipeline per target, boosted trees with a learning rate of 0.05 on rows with ``split`` train, stopped by
-    those with val. The assembled table is prepared once and shared by all targets."""
+    those with val. Each tree sees ``share`` of the rows and chooses among that share of the inputs at every split. With
+    ``leaves`` no tree is so deep that it could have more. The assembled table is prepared once and shared by all targets."""
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.regression import GBTRegressor
 
     rows = _with_gaps(df.filter(F.col("split").isin("train", "val")), features, cats)
     prep = Pipeline(stages=_assembled(features, cats)).fit(rows.filter("split = 'train'"))
     ready = prep.transform(rows).select("_x", (F.col("split") == "val").alias("_val"), *targets).cache()
+    depth = min(max_depth, leaves.bit_length() - 1) if leaves else max_depth
     models = {}
     for y in targets:
-        gbt = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol=f"pred_{y}", stepSize=0.05, maxIter=max_iter, maxDepth=max_depth, minInstancesPerNode=min_leaf, subsamplingRate=0.85, seed=seed, validationIndicatorCol="_val")
+        gbt = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol=f"pred_{y}", stepSize=0.05, maxIter=max_iter, maxDepth=depth, minInstancesPerNode=min_leaf, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed, validationIndicatorCol="_val")
         models[y] = PipelineModel([*prep.stages, gbt.fit(ready.filter(F.col(y).isNotNull()))])
     ready.unpersist()
     return models

@@ -11,23 +11,39 @@ from terrace.plans.q_features import _SPEND, _STAND, _WALK, _pairs, spend
 from terrace.plans.registry import query
 
 
+_STATE = ("position", "points", "difference", "form3_points", "form3_scored", "form3_xg", "form3_n")
+
+
 @query(
     "job_prematch_features",
     _STAND
-    + """, shots AS (SELECT l_orderkey AS match_id, round(sum(CASE WHEN l_linestatus = 'O' THEN l_discount ELSE 0 END), 6) AS xg_home, round(sum(CASE WHEN l_linestatus <> 'O' THEN l_discount ELSE 0 END), 6) AS xg_away FROM lineitem GROUP BY ALL)
-    SELECT s.match_id, s.season, s.round, s.team, s.opponent, s.is_home, o.position AS own_position, o.points AS own_points, o.difference AS own_difference, p.position AS opp_position, p.points AS opp_points, p.difference AS opp_difference, xg_home IS NOT NULL AS has_shots
-    FROM sides s JOIN standing o ON o.season = s.season AND o.round = s.round AND o.team = s.team JOIN standing p ON p.season = s.season AND p.round = s.round AND p.team = s.opponent LEFT JOIN shots USING (match_id)""",
+    + f""", shots AS (SELECT l_orderkey AS match_id, sum(CASE WHEN l_linestatus = 'O' THEN l_discount ELSE 0 END) AS xg_home, sum(CASE WHEN l_linestatus <> 'O' THEN l_discount ELSE 0 END) AS xg_away FROM lineitem GROUP BY ALL),
+    played AS (SELECT sides.*, xg_home IS NOT NULL AS has_shots, CASE WHEN is_home THEN xg_home ELSE xg_away END AS xg FROM sides LEFT JOIN shots USING (match_id)),
+    back AS (SELECT s.season, s.team, s.round, m.points, m.scored, m.xg, row_number() OVER (PARTITION BY s.season, s.team, s.round ORDER BY m.round DESC, m.match_id DESC) AS k FROM spine s JOIN played m ON m.season = s.season AND m.team = s.team AND m.round < s.round),
+    form AS (SELECT season, team, round, round(avg(points), 6) AS form3_points, round(avg(scored), 6) AS form3_scored, round(avg(xg), 6) AS form3_xg, count(k) AS form3_n FROM spine LEFT JOIN (SELECT * FROM back WHERE k <= 3) USING (season, team, round) GROUP BY ALL),
+    state AS (SELECT * FROM standing JOIN form USING (season, team, round)),
+    r AS (SELECT l_suppkey % 20 AS team, CAST(l_shipdate AS DATE) AS day, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL)
+    SELECT s.match_id, s.season, s.round, s.team, s.opponent, s.is_home, {', '.join(f'{q}.{c} AS {n}_{c}' for q, n in (('o', 'own'), ('p', 'opp')) for c in _STATE)},
+      coalesce(o0.v, o1.v, o2.v) AS own_lineup, coalesce(p0.v, p1.v, p2.v) AS opp_lineup, has_shots
+    FROM played s JOIN state o ON o.season = s.season AND o.round = s.round AND o.team = s.team JOIN state p ON p.season = s.season AND p.round = s.round AND p.team = s.opponent
+    {' '.join(f'LEFT JOIN r {q}{i} ON {q}{i}.team = s.{c} AND {q}{i}.day = s.day + ({by})' for q, c in (('o', 'team'), ('p', 'opponent')) for i, by in enumerate((0, 1, -1)))}""",
 )
 def prematch(spark, d):
-    """Job A: every side of every match with both teams' state before the round. Goals and points stay out."""
+    """Job A: every side of every match with both teams' standing and form (points, goals, xG) before the round and their
+    line-ups of the day or one beside it. Goals, points and xG of the match itself stay out."""
     rows = sides(spark, d)
-    table = standings.standings_before(rows)
-    cols = ["position", "points", "difference"]
-    rows = joins.lookup(rows.select("match_id", "season", "round", "team", "opponent", "is_home"), table, {"season": "season", "round": "round", "team": "team"}, "own_", cols)
-    rows = joins.lookup(rows, table, {"season": "season", "round": "round", "opponent": "team"}, "opp_", cols)
-    shots = aggs.by_side(t(spark, d, "lineitem").withColumns({"xg": F.col("l_discount"), "match_id": F.col("l_orderkey")}), ["match_id"], "l_linestatus", "O", "xg")
-    out = rows.join(shots, "match_id", "left").withColumn("has_shots", F.col("xg_home").isNotNull()).drop("xg_home", "xg_away")
-    return guards.assert_no_leakage(out, {"home_goals", "away_goals", "scored", "conceded"})
+    li = t(spark, d, "lineitem")
+    shots = aggs.by_side(li.withColumns({"xg": F.col("l_discount"), "match_id": F.col("l_orderkey")}), ["match_id"], "l_linestatus", "O", "xg")
+    played = rows.join(shots, "match_id", "left").withColumns({"has_shots": F.col("xg_home").isNotNull(), "xg": F.when(F.col("is_home"), F.col("xg_home")).otherwise(F.col("xg_away"))})
+    form = standings.rolling_form(played, ["points", "scored", "xg"], (3,)).withColumns({f"form3_{c}": F.round(f"form3_{c}", 6) for c in ("points", "scored", "xg")})
+    state = standings.standings_before(rows).drop("scored", "conceded").join(form, ["season", "round", "team"])
+    line_ups = li.select((F.col("l_suppkey") % 20).alias("team"), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("lineup"))
+    out = played.select("match_id", "season", "round", "day", "team", "opponent", "is_home", "has_shots")
+    for who, prefix in (("team", "own_"), ("opponent", "opp_")):
+        out = joins.lookup(out, state, {"season": "season", "round": "round", who: "team"}, prefix, list(_STATE))
+        seen = line_ups.withColumnRenamed("team", who)
+        out = joins.join_within_days(out, seen, [who], "day", ["lineup"], ["lineup"]).drop("day_offset").withColumnRenamed("lineup", f"{prefix}lineup")
+    return guards.assert_no_leakage(out.drop("day"), {"home_goals", "away_goals", "scored", "conceded", "points", "xg", "xg_home", "xg_away"})
 
 
 @query(

@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrace.functions import text_blocks as tb
-from terrace.operators import aggs, inference, models
+from terrace.operators import aggs, inference, models, sheets
 from terrace.plans.bindings import RATINGS_SQL, ratings, t
 from terrace.plans.q_scalars import _SPLIT, split_ratings
 from terrace.plans.registry import query
 
 
-@query("t1_match_json", "SELECT o_orderkey, CASE WHEN l_linestatus = 'O' THEN 'h' ELSE 'a' END AS side, CAST(l_partkey AS VARCHAR) AS player, l_quantity AS minutes FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+_SIDE = "o_orderkey, CASE WHEN l_linestatus = 'O' THEN 'h' ELSE 'a' END AS side, CAST(l_partkey AS VARCHAR) AS player"
+
+
+@query(
+    "t1_match_json",
+    f"SELECT 'shot' AS kind, {_SIDE}, l_quantity AS minutes FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT 'player', {_SIDE}, l_quantity + 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+)
 def t1(spark, d):
-    # A nested text per match, as a source would store it: a list of shots per side.
+    # A nested text per match, as a source would store it: per side a list of shots, and a map of players by number.
     li = t(spark, d, "lineitem").withColumn("side", F.when(F.col("l_linestatus") == "O", "h").otherwise("a"))
-    shot = F.struct(F.col("l_partkey").cast("string").alias("player"), F.col("l_quantity").alias("minutes"))
-    per = li.groupBy("l_orderkey", "side").agg(F.collect_list(shot).alias("shots")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("side", "shots"))).alias("shots"))
-    raw = per.join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.to_json(F.struct("shots")).alias("json"))
+    entry = lambda minutes: F.struct(F.col("l_partkey").cast("string").alias("player"), minutes.alias("minutes"))
+    shots = F.collect_list(entry(F.col("l_quantity"))).alias("shots")
+    numbered = lambda arr: F.map_from_entries(F.transform(arr, lambda e, i: F.struct(i.cast("string"), e)))
+    players = numbered(F.collect_list(entry(F.col("l_quantity") + 1))).alias("players")
+    of_sides = lambda c: F.map_from_entries(F.collect_list(F.struct("side", c)))
+    per = li.groupBy("l_orderkey", "side").agg(shots, players).groupBy("l_orderkey").agg(of_sides("shots").alias("shots"), of_sides("players").alias("rosters"))
+    raw = per.join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.to_json(F.struct("shots", "rosters")).alias("json"))
     schema = "shots map<string,array<struct<player:string,minutes:double>>>, rosters map<string,map<string,struct<player:string,minutes:double>>>"
-    return tb.explode_match_json(raw, "json", schema, "rosters", "shots", ["o_orderkey"])[1]
+    rows, taken = tb.explode_match_json(raw, "json", schema, "rosters", "shots", ["o_orderkey"])
+    return taken.withColumn("kind", F.lit("shot")).unionByName(rows.withColumn("kind", F.lit("player")))
 
 
 @query("t2_stats_to_columns", "SELECT user_id, max_by(value, event_id) FILTER (WHERE event_type = 'click') AS stat__click, max_by(value, event_id) FILTER (WHERE event_type = 'view') AS stat__view, CAST(NULL AS DOUBLE) AS stat__other FROM events GROUP BY user_id")
@@ -100,19 +111,31 @@ def t11(spark, d):
     return tb.zip_sources(p, ["rating", "score"], "names", ["p_partkey"])
 
 
+_TO = "JOIN rated USING (p_brand, p_type) WHERE {on} GROUP BY p_brand, p_type, raw"
+
+
 @query(
     "t12_assemble_sheet",
-    """SELECT p_partkey, p_name, pct, pct >= 50 AS starter, reason IS NOT NULL AS unavailable, reason, coalesce(kicks, false) AS kicks, set_piece FROM part
-    LEFT JOIN (SELECT p_partkey, CAST(p_size AS INTEGER) * 2 AS pct FROM part WHERE p_partkey % 2 = 0) USING (p_partkey) LEFT JOIN (SELECT p_partkey, p_brand AS reason FROM part WHERE p_partkey % 7 = 0) USING (p_partkey)
-    LEFT JOIN (SELECT p_partkey, true AS kicks, 'angoli' AS set_piece FROM part WHERE p_partkey % 11 = 0) USING (p_partkey)""",
+    f"""WITH rated AS (SELECT DISTINCT p_brand, p_type, p_name FROM part),
+    c AS (SELECT p_brand, p_type, split_part(p_name, ' ', 2) AS raw, CAST(p_size * 2 AS INTEGER) AS pct FROM part WHERE p_partkey % 2 = 0),
+    u AS (SELECT p_brand, p_type, split_part(p_name, ' ', 1) AS raw, 'out ' || p_size AS reason FROM part WHERE p_partkey % 7 = 0),
+    k AS (SELECT p_brand, p_type, p_name AS raw, CASE WHEN p_partkey % 2 = 0 THEN 'angoli' ELSE 'rigori' END AS set_piece FROM part WHERE p_partkey % 11 = 0),
+    ch AS (SELECT p_brand, p_type, raw, min(p_name) AS p_name FROM c {_TO.format(on="list_contains(string_split(p_name, ' '), raw)")}),
+    uh AS (SELECT p_brand, p_type, raw, min(p_name) AS p_name FROM u {_TO.format(on="contains(p_name, raw)")}),
+    kh AS (SELECT p_brand, p_type, raw, min(p_name) AS p_name FROM k {_TO.format(on="contains(p_name, raw) OR contains(raw, p_name)")}),
+    cs AS (SELECT p_brand, p_type, p_name, max(pct) AS pct FROM c JOIN ch USING (p_brand, p_type, raw) GROUP BY ALL),
+    us AS (SELECT p_brand, p_type, p_name, min(reason) AS reason FROM u JOIN uh USING (p_brand, p_type, raw) GROUP BY ALL),
+    ks AS (SELECT p_brand, p_type, p_name, min(set_piece) AS set_piece FROM k JOIN kh USING (p_brand, p_type, raw) GROUP BY ALL)
+    SELECT p_brand, p_type, p_name, pct, pct >= 50 AS starter, reason IS NOT NULL AS unavailable, reason, set_piece IS NOT NULL AS kicks, set_piece
+    FROM rated LEFT JOIN cs USING (p_brand, p_type, p_name) LEFT JOIN us USING (p_brand, p_type, p_name) LEFT JOIN ks USING (p_brand, p_type, p_name)""",
 )
 def t12(spark, d):
-    p = t(spark, d, "part")
-    key = ["p_partkey"]
-    contests = p.filter("p_partkey % 2 = 0").select("p_partkey", (F.col("p_size") * 2).alias("pct"))
-    out = p.filter("p_partkey % 7 = 0").select("p_partkey", F.col("p_brand").alias("reason"))
-    kick = p.filter("p_partkey % 11 = 0").select("p_partkey", F.lit("angoli").alias("set_piece"))
-    return tb.assemble_sheet(p.select("p_partkey", "p_name"), contests, out, kick, key)
+    p, block = t(spark, d, "part"), ["p_brand", "p_type"]
+    word = lambda i: F.upper(F.split_part("p_name", F.lit(" "), F.lit(i))).alias("p_name")
+    contests = p.filter("p_partkey % 2 = 0").select(*block, word(2), (F.col("p_size") * 2).alias("pct"))
+    out = p.filter("p_partkey % 7 = 0").select(*block, word(1), F.concat(F.lit("out "), F.col("p_size").cast("string")).alias("reason"))
+    kick = p.filter("p_partkey % 11 = 0").select(*block, "p_name", F.when(F.col("p_partkey") % 2 == 0, "angoli").otherwise("rigori").alias("set_piece"))
+    return sheets.assemble_sheet(p.select(*block, "p_name").distinct(), contests, out, kick, block, "p_name", 2.0)
 
 
 @query("t13_bonus_columns", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS goals, 0.0::DOUBLE AS assists, p_partkey % 3 = 0 AS booked FROM part")
@@ -167,6 +190,7 @@ def _table(spark, d):
     return o.select(
         "o_orderkey",
         (F.col("c_acctbal") / 1000 + F.month("o_orderdate") + (F.col("o_orderpriority") == "1-URGENT").cast("int") * 5).alias("y"),
+        (F.month("o_orderdate") - F.col("c_acctbal") / 2000).alias("late"),
         F.when(F.col("o_orderkey") % 9 > 0, F.col("c_acctbal")).alias("balance"),
         F.month("o_orderdate").cast("double").alias("month"),
         F.col("o_orderpriority").alias("priority"),
@@ -178,8 +202,8 @@ def _table(spark, d):
 def m14(spark, d):
     """Boosted trees per target, then scores of the test rows with the column contract and clamped counts."""
     rows, features, cats = _table(spark, d), ["balance", "month", "priority"], ["priority"]
-    made = models.train_targets(rows, ["y"], features, cats, max_iter=10, max_depth=4)
-    return models.score_targets(rows.filter("split = 'test'"), made, features, cats, {"y"}).select("o_orderkey", "y", "pred_y")
+    made = models.train_targets(rows, ["y", "late"], features, cats, max_iter=10, leaves=15)
+    return models.score_targets(rows.filter("split = 'test'"), made, features, cats, {"y"}).select("o_orderkey", "y", "pred_y", "late", "pred_late")
 
 
 @query("m3_importances")

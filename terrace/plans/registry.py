@@ -29,4 +29,4 @@ def load() -> None:
         import_module(f"terrace.plans.{name}")
 
 
-PLANS = ("q_scalars", "q_features", "q_text_models", "q_jobs")
+PLANS = ("q_tables", "q_scalars", "q_features", "q_text_models", "q_jobs")

@@ -9,7 +9,7 @@ from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegerType, St
 
 from terrace.functions import scalars as s
 from terrace.functions import text_blocks as tb
-from terrace.operators import aggs, dedup, guards, inference, joins, lags, models, names, ranking, standings
+from terrace.operators import aggs, dedup, guards, inference, joins, lags, models, names, ranking, sheets, standings
 from terrace.sources import tables as io
 
 
@@ -199,6 +199,23 @@ def test_nested_match_text(spark):
     assert [tuple(r) for r in shots.collect()] == [(5, "h", "A", 3.0)]
 
 
+def test_sheet_from_raw_names(spark):
+    """Names as pages spell them: the best fit for contests, containment for the rest; other teams' names do not count."""
+    rated = spark.createDataFrame([("A", "Rossi Mario"), ("A", "Bianchi Luca"), ("A", "Verdi"), ("B", "Rossi Paolo")], "team string, name string")
+    contests = spark.createDataFrame([("A", "ROSSI", 60), ("A", "Bianchi L.", 40), ("A", "rossi mario", 55), ("A", "Neri", 90)], "team string, name string, pct int")
+    out = spark.createDataFrame([("A", "verdi", "knee"), ("A", "Verdi", "ankle"), ("B", "Verdi", "hip")], "team string, name string, reason string")
+    kick = spark.createDataFrame([("B", "Rossi", "rigori")], "team string, name string, set_piece string")
+    got = {(r.team, r.name): tuple(r)[2:] for r in sheets.assemble_sheet(rated, contests, out, kick, ["team"], "name").collect()}
+    assert got == {
+        ("A", "Rossi Mario"): (60, True, False, None, False, None),
+        ("A", "Bianchi Luca"): (40, False, False, None, False, None),
+        ("A", "Verdi"): (None, None, True, "ankle", False, None),
+        ("B", "Rossi Paolo"): (None, None, False, None, True, "rigori"),
+    }
+    none = sheets.assemble_sheet(rated, contests.limit(0), out.limit(0), kick.limit(0), ["team"], "name").collect()
+    assert len(none) == 4 and not any(r.unavailable or r.kicks or r.pct for r in none)
+
+
 def test_html_entities(spark):
     assert one(spark, tb.html_to_text(F.lit("<p>Caff&egrave;&nbsp;&amp; <b>t&#232;</b></p>"))) == "Caffè & tè"
 
@@ -268,3 +285,5 @@ def test_trees_beat_the_mean_and_repeat(spark):
     e = runs[0].agg(F.avg(F.abs(F.col("y") - F.col("pred_y"))), F.avg(F.abs(F.col("y") - 1.5))).first()
     assert e[0] < e[1]
     assert [n for n, _ in models.importances(m["y"], f, cats)][0] in f
+    few = models.train_targets(df, ["y"], f, cats, max_iter=4, min_leaf=1, leaves=6)["y"].stages[-1]
+    assert max(t.numNodes for t in few.trees) <= 2 * 6 - 1 and few.getFeatureSubsetStrategy() == "0.85"
