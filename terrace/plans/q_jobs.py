@@ -46,24 +46,42 @@ def prematch(spark, d):
     return guards.assert_no_leakage(out.drop("day"), {"home_goals", "away_goals", "scored", "conceded", "points", "xg", "xg_home", "xg_away"})
 
 
+_METRICS = ("spent", "n")
+
+
 @query(
     "job_player_season_table",
-    f"""WITH {_SPEND}, p AS (SELECT a.player, a.season, a.spent AS target, b.spent AS spent_lag1, a.n AS appearances FROM spend a JOIN spend b ON a.player = b.player AND a.season = b.season + 1),
-    c AS (SELECT player, season, avg(spent) OVER f AS career, count(*) OVER f AS earlier FROM spend WINDOW f AS (PARTITION BY player ORDER BY season RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT player, season, target, spent_lag1, round(career, 4) AS spent_career, earlier AS earlier_seasons, c_mktsegment AS segment, CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS in_region,
-      CASE WHEN season < 2000 THEN 'train' WHEN season = 2000 THEN 'val' ELSE 'test' END AS split FROM p JOIN c USING (player, season) LEFT JOIN customer ON player = c_custkey""",
+    f"""WITH {_SPEND}, p AS (SELECT a.player, a.season, a.spent AS target, a.n AS target_n FROM spend a JOIN spend b ON a.player = b.player AND a.season = b.season + 1),
+    w AS (SELECT player, season, {', '.join(f"CAST(lag({m}) OVER o AS DOUBLE) AS {m}_lag1, avg({m}) OVER l AS {m}_mean, stddev_pop({m}) OVER l AS {m}_std, count({m}) OVER l AS {m}_k, first_value({m}) OVER l AS {m}_f, last_value({m}) OVER l AS {m}_l, avg({m}) OVER f AS {m}_career" for m in _METRICS)}, count(*) OVER f AS earlier FROM spend
+      WINDOW o AS (PARTITION BY player ORDER BY season), l AS (PARTITION BY player ORDER BY season RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY player ORDER BY season RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    e AS (SELECT o_custkey AS player, CAST(year(o_orderdate) AS INTEGER) AS es, CAST(o_orderkey % 40 AS DOUBLE) AS days FROM orders WHERE o_orderpriority = '1-URGENT'),
+    i AS (SELECT s.player, s.season, count(es) FILTER (WHERE es = s.season - 1) AS injuries_prev, coalesce(sum(days) FILTER (WHERE es = s.season - 1), 0.0) AS days_prev, count(es) FILTER (WHERE es < s.season) AS injuries_career FROM spend s LEFT JOIN e ON e.player = s.player GROUP BY ALL),
+    b AS (SELECT o_custkey AS player, CAST(year(o_orderdate) AS INTEGER) AS season, o_orderpriority AS role, count(*) AS k FROM orders GROUP BY ALL),
+    v AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY player, season ORDER BY k DESC, role) = 1)
+    SELECT player, season, target, target_n, {', '.join(f"{m}_lag1, round({m}_mean, 4) AS {m}_mean, CASE WHEN {m}_k >= 2 THEN round({m}_std, 4) END AS {m}_std, CASE WHEN {m}_k >= 2 THEN round(({m}_l - {m}_f) / ({m}_k - 1), 4) END AS {m}_trend, round({m}_career, 4) AS {m}_career" for m in _METRICS)}, earlier AS earlier_seasons,
+      injuries_prev, days_prev, injuries_career, role, c_mktsegment AS segment, n_name AS nation, round(c_acctbal / 100, 2) AS price, CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS in_region,
+      CASE WHEN season < 2000 THEN 'train' WHEN season = 2000 THEN 'val' ELSE 'test' END AS split
+    FROM p JOIN w USING (player, season) JOIN i USING (player, season) JOIN v USING (player, season) LEFT JOIN customer ON player = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
 )
 def player_season(spark, d):
-    """Job B: one row per player and season with a season before; targets, earlier seasons, profile, split."""
+    """Job B: one row per player and season with a season before: targets, earlier seasons of every metric, injuries of
+    earlier seasons, the role seen most, profile, price, split."""
     agg = spend(spark, d)
-    spine = joins.with_previous_season(agg.select("player", "season", F.col("spent").alias("target")), "player", "season", []).select("player", "season", "target")
-    feats = lags.season_features(agg, "player", "season", ["spent"]).select("player", "season", "spent_lag1", F.round("spent_career", 4).alias("spent_career"), "earlier_seasons")
-    out = spine.join(feats, ["player", "season"])
-    out = joins.lookup(out, t(spark, d, "customer"), {"player": "c_custkey"}, "", ["c_mktsegment", "c_nationkey"])
-    region = F.broadcast(t(spark, d, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(1.0).alias("in_region")))  # a fixed set of nations
-    out = out.join(region, "c_nationkey", "left").withColumn("in_region", F.coalesce("in_region", F.lit(0.0)))
+    spine = joins.with_previous_season(agg.select("player", "season", F.col("spent").alias("target"), F.col("n").alias("target_n")), "player", "season", [])
+    feats = lags.season_features(agg, "player", "season", list(_METRICS))
+    rounded = {f"{m}_{k}": F.round(f"{m}_{k}", 4) for m in _METRICS for k in ("mean", "std", "trend", "career")}
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season"), F.col("o_orderpriority").alias("role"), (F.col("o_orderkey") % 40).cast("double").alias("days"))
+    hurt = aggs.injury_features(agg, o.filter("role = '1-URGENT'"), "player", "season", "days")
+    role = dedup.majority(o, ["player", "season"], "role").select("player", "season", "role")
+    out = spine.join(feats.withColumns(rounded), ["player", "season"]).join(hurt, ["player", "season"]).join(role, ["player", "season"])
+    people = t(spark, d, "customer").withColumn("price", F.round(F.col("c_acctbal") / 100, 2))
+    out = joins.lookup(out, people, {"player": "c_custkey"}, "", ["c_mktsegment", "c_nationkey", "price"])
+    out = joins.lookup(out, t(spark, d, "nation"), {"c_nationkey": "n_nationkey"}, "", ["n_name", "n_regionkey"])
+    out = out.withColumn("in_region", F.coalesce((F.col("n_regionkey") == 0).cast("double"), F.lit(0.0)))
     out = guards.temporal_split(out, "season", list(range(1990, 2000)), [2000], [2001, 2002])
-    return select_base(out.withColumnRenamed("c_mktsegment", "segment"), ["player", "season", "target", "spent_lag1", "spent_career", "earlier_seasons", "segment", "in_region", "split"], {})
+    of = [f"{m}_{k}" for m in _METRICS for k in ("lag1", "mean", "std", "trend", "career")]
+    named = out.withColumnsRenamed({"c_mktsegment": "segment", "n_name": "nation"})
+    return select_base(named, ["player", "season", "target", "target_n", *of, "earlier_seasons", "injuries_prev", "days_prev", "injuries_career", "role", "segment", "nation", "price", "in_region", "split"], {})
 
 
 @query(
