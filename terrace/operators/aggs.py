@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators.ranking import summed_before
+
 
 def player_season(df: DataFrame, keys: list[str], means: list[str], sums: list[str]) -> DataFrame:
     """A1. Mean of the ratings, sums of the counters (absent counters are 0), number of appearances."""
@@ -75,15 +77,31 @@ def bias_report(df: DataFrame, group: str, y: str, pred: str, min_n: int = 30, k
     return low.unionByName(high)
 
 
-def medians(df: DataFrame, cols: list[str], fit: Column) -> DataFrame:
-    """A10. One row: medians over the rows to fit on."""
-    return df.filter(fit).agg(*[F.median(c).alias(c) for c in cols])
-
+def medians(df: DataFrame, cols: list[str], fit: Column, accuracy: int | None = None) -> DataFrame:
+    """A10. One row: medians over the rows to fit on, null for a column without values.
 
-def median_impute(df: DataFrame, cols: list[str], fit: Column) -> DataFrame:
-    """A10. Gaps filled by the median of the fit rows; a column without any value there keeps its gaps. Nothing runs
-    while the plan is made: the medians are one row that joins."""
-    m = F.broadcast(medians(df, cols, fit).alias("m"))
+    Equal values are counted first; the middle ones are then found by their places among the counted values, sorted in
+    ranges, so no task holds a whole column. That keeps a table in the shared folder. With ``accuracy`` the medians are
+    estimates instead, each within 1 / accuracy of the middle place, in one lazy pass.
+    """
+    rows = df.filter(fit)
+    if accuracy:
+        return rows.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols])
+    cells = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
+    counted = cells.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+    placed = summed_before(counted, "column", [F.col("value")], F.col("n"), "before")
+    # As many rows as columns.
+    totals = F.broadcast(placed.groupBy("column").agg(F.sum("n").alias("total")))
+    holds = lambda place: (F.col("before") <= F.floor(place)) & (F.col("before") + F.col("n") > F.floor(place))
+    middle = lambda c, place: F.max(F.when((F.col("column") == c) & holds(place), F.col("value")))
+    total = F.col("total")
+    return placed.join(totals, "column").agg(*[((middle(c, (total - 1) / 2) + middle(c, total / 2)) / 2).alias(c) for c in cols])
+
+
+def median_impute(df: DataFrame, cols: list[str], fit: Column, accuracy: int | None = None) -> DataFrame:
+    """A10. Gaps filled by the median of the fit rows; a column without any value there keeps its gaps. The medians are
+    one row that joins."""
+    m = F.broadcast(medians(df, cols, fit, accuracy).alias("m"))
     filled = [F.coalesce(f"d.{c}", f"m.{c}").alias(c) if c in cols else F.col(f"d.{c}") for c in df.columns]
     return df.alias("d").join(m).select(*filled)
 

@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.operators.rounds import settled
+
+
+def summed_before(df: DataFrame, by: str, order: list[Column], weight: Column, name: str) -> DataFrame:
+    """The table with ``name``: the weights of all rows of the same group that come before a row in the order, summed.
+
+    Rows are dealt to ranges of (group, order) and kept in the shared folder, so that every step below sees the same
+    ranges. Running sums go range by range, on top of the sum of the ranges before: a group of any size is spread over
+    as many tasks as it fills. The order must tell all rows of a group apart for the result to be defined.
+    """
+    dealt = settled(df.repartitionByRange(F.col(by), *order).withColumn("_range", F.spark_partition_id()))
+    # One row for each group in each range.
+    sums = dealt.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_at")).agg(F.sum(weight).alias("_sum"))
+    earlier = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_by", "_at", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn(name, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    both = rows.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
+    return both.withColumn(name, F.col(name) + F.col("_start")).select(*df.columns, name)
+
 
 def rank_divergence(df: DataFrame, by: str, a: str, b: str, ties: list[str], cut: float = 1.0) -> DataFrame:
     """W12. Ranks by both values inside a group, their difference, the difference in population deviations of the group,
-    and a verdict from the cut on. Equal values rank by ``ties``."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last(c), *ties))
-    out = df.withColumns({"rank_a": rank(a), "rank_b": rank(b)})
+    and a verdict from the cut on. Equal values rank by ``ties``, nulls last. Groups may be few and large: ranks come
+    from sorted ranges, deviations from one grouping."""
+    out = df
+    for c, rank in ((a, "rank_a"), (b, "rank_b")):
+        out = summed_before(out, by, [F.desc_nulls_last(c), *map(F.col, ties)], F.lit(1), rank).withColumn(rank, (F.col(rank) + 1).cast("int"))
     out = out.withColumn("divergence", F.col("rank_a") - F.col("rank_b"))
-    spread = F.stddev_pop("divergence").over(Window.partitionBy(by))
-    z = F.when(spread > 0, F.col("divergence") / spread)
-    return out.withColumn("z", z).withColumn("verdict", F.when(F.col("z") >= cut, "undervalued").when(F.col("z") <= -cut, "overvalued").otherwise("aligned"))
+    spread = out.groupBy(F.col(by).alias("_by")).agg(F.stddev_pop("divergence").alias("_spread"))
+    out = out.join(spread, F.col(by).eqNullSafe(F.col("_by"))).withColumn("z", F.when(F.col("_spread") > 0, F.col("divergence") / F.col("_spread"))).drop("_by", "_spread")
+    return out.withColumn("verdict", F.when(F.col("z") >= cut, "undervalued").when(F.col("z") <= -cut, "overvalued").otherwise("aligned"))
 
 
 def top_k(df: DataFrame, by: list[str], score, k: int, ties: list[str]) -> DataFrame:

@@ -156,16 +156,50 @@ def m5(spark, d):
     return f.filter("split = 'test'").select("match_id", "player", F.round("forecast", 6).alias("forecast"))
 
 
-@query("m5_ar_coefficients")
+def _ar_sql(most: int = 3) -> str:
+    """Least squares per player for every order up to ``most`` with a constant and one input: normal equations, one step of
+    elimination per unknown, the order with the least AIC."""
+    names = ["one", *[f"x{k}" for k in range(1, most + 1)], "click", "y"]
+    sums = ", ".join(f"sum({a} * {b}) AS g_{a}_{b}" for i, a in enumerate(names) for b in names[i:])
+    g = lambda a, b: f"g_{a}_{b}" if names.index(a) <= names.index(b) else f"g_{b}_{a}"
+    steps, found = [], []
+    for p in range(1, most + 1):
+        use = [*names[: p + 1], "click"]
+        m, target = len(use), "y"
+        row = ", ".join([*(f"{g(a, b)} AS m{i}_{j}" for i, a in enumerate(use) for j, b in enumerate(use)), *(f"{g(a, 'y')} AS m{i}_{m}" for i, a in enumerate(use))])
+        steps.append(f"e{p}_0 AS (SELECT player, {row} FROM sums WHERE g_one_one > {m + 1})")
+        for k in range(m):
+            rest = [f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}" if i != k else f"m{k}_{j} / m{k}_{k} AS m{k}_{j}" for i in range(m) for j in range(k + 1, m + 1)]
+            steps.append(f"e{p}_{k + 1} AS (SELECT player, {', '.join(rest)} FROM e{p}_{k})")
+        b = [f"m{i}_{m}" for i in range(m)]
+        fit = " + ".join(f"{b[i]} * {b[j]} * {g(use[i], use[j])}" for i in range(m) for j in range(m))
+        rss = f"g_y_y - 2 * ({' + '.join(f'{c} * {g(u, target)}' for c, u in zip(b, use, strict=True))}) + {fit}"
+        cells = ", ".join(f"{c} AS c{i}" for i, c in enumerate([*b, *["NULL"] * (most + 2 - m)]))
+        found.append(f"SELECT player, {p} AS p, CAST(g_one_one AS BIGINT) AS n, g_one_one * ln(({rss}) / g_one_one) + {2 * m} AS aic, {cells} FROM e{p}_{m} JOIN sums USING (player)")
+    lags = ", ".join(f"lag(rating, {k}) OVER w AS x{k}" for k in range(1, most + 1))
+    used = " AND ".join(f"x{k} IS NOT NULL" for k in range(1, most + 1))
+    return f"""WITH {RATINGS_SQL}, s AS (SELECT match_id, player, {_SPLIT} AS split, 1.0::DOUBLE AS one, CAST(source = 'click' AS DOUBLE) AS click, rating AS y, {lags} FROM ratings WINDOW w AS (PARTITION BY player ORDER BY season, round, match_id)),
+    sums AS (SELECT player, {sums} FROM s WHERE split IN ('train', 'val') AND {used} AND y IS NOT NULL AND click IS NOT NULL GROUP BY player), {', '.join(steps)},
+    best AS (SELECT * FROM ({' UNION ALL '.join(found)}) QUALIFY row_number() OVER (PARTITION BY player ORDER BY aic, p) = 1)"""
+
+
+def _click_ratings(spark, d):
+    return split_ratings(spark, d).withColumn("click", (F.col("source") == "click").cast("double"))
+
+
+@query("m5_ar_coefficients", _ar_sql() + f" SELECT player, CAST(p AS INTEGER) AS p, n, round(aic, 4) AS aic, {', '.join(f'round(c{i}, 5) AS c{i}' for i in range(5))} FROM best")
 def m5b(spark, d):
-    r = split_ratings(spark, d).filter(F.col("split").isin("train", "val")).withColumn("click", (F.col("source") == "click").cast("double"))
-    return models.ar_coefficients(r, "player", ["season", "round", "match_id"], "rating", ["click"])
+    r = _click_ratings(spark, d).filter(F.col("split").isin("train", "val"))
+    c = models.ar_coefficients(r, "player", ["season", "round", "match_id"], "rating", ["click"])
+    return c.select("player", "p", "n", F.round("aic", 4).alias("aic"), *[F.round(F.get("coefficients", F.lit(i)), 5).alias(f"c{i}") for i in range(5)])
 
 
-@query("m5_walk_forward_ar")
+@query(
+    "m5_walk_forward_ar",
+    _ar_sql() + " SELECT match_id, player, CAST(p AS INTEGER) AS p, round(CASE p WHEN 1 THEN c0 + c1 * x1 + c2 * click WHEN 2 THEN c0 + c1 * x1 + c2 * x2 + c3 * click WHEN 3 THEN c0 + c1 * x1 + c2 * x2 + c3 * x3 + c4 * click END, 6) AS forecast FROM s LEFT JOIN best USING (player) WHERE split = 'test'",
+)
 def m5c(spark, d):
-    r = split_ratings(spark, d).withColumn("click", (F.col("source") == "click").cast("double"))
-    f = models.walk_forward_ar(r, "player", ["season", "round", "match_id"], "rating", ["click"], F.col("split").isin("train", "val"))
+    f = models.walk_forward_ar(_click_ratings(spark, d), "player", ["season", "round", "match_id"], "rating", ["click"], F.col("split").isin("train", "val"))
     return f.filter("split = 'test'").select("match_id", "player", "p", F.round("forecast", 6).alias("forecast"))
 
 

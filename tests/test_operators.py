@@ -1,6 +1,7 @@
 """Edge cases on hand-made rows."""
 
 import datetime as dt
+import statistics
 
 import numpy as np
 import pytest
@@ -167,6 +168,35 @@ def test_divergence_of_a_constant_group_has_no_z(spark):
     assert [r.z for r in ranking.rank_divergence(df, "g", "a", "b", ["id"]).collect()] == [None, None]
 
 
+def test_ranks_over_several_ranges(spark):
+    # One group holds most rows, many of one value; one has no name.
+    rows = [(i, None if i % 11 == 0 else "big" if i % 7 else "small", float(i * i % 5) if i % 9 else None, float(i * 31 % 17)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, a double, b double").repartition(5)
+    ranks = {}
+    for name, at in (("rank_a", 2), ("rank_b", 3)):
+        for g in {r[1] for r in rows}:
+            inside = sorted((r for r in rows if r[1] == g), key=lambda r: (r[at] is None, -(r[at] or 0), r[0]))
+            ranks |= {(name, r[0]): k for k, r in enumerate(inside, 1)}
+    got = ranking.rank_divergence(df, "g", "a", "b", ["id"]).collect()
+    assert {("rank_a", r.id): r.rank_a for r in got} | {("rank_b", r.id): r.rank_b for r in got} == ranks and len(got) == 400
+    for g in (None, "big", "small"):
+        d = [r.divergence for r in got if r.g == g]
+        spread = statistics.pstdev(d)
+        assert all(abs(r.z - r.divergence / spread) < 1e-9 for r in got if r.g == g)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 200])
+def test_medians_by_place(spark, n):
+    rows = [(i, float(i * 37 % 23) if i % 3 else None, float(i % 2), None) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, z double").repartition(4)
+    got = aggs.medians(df, ["x", "y", "z"], F.lit(True)).first()
+    want = [statistics.median(v) if (v := [r[k] for r in rows if r[k] is not None]) else None for k in (1, 2, 3)]
+    assert list(got) == want
+    near = aggs.medians(df, ["x"], F.lit(True), accuracy=1_000).first().x
+    values = sorted(r[1] for r in rows if r[1] is not None)
+    assert near == (values[(len(values) - 1) // 2] if values else None)
+
+
 def test_corrections_touch_two_columns_only(spark):
     m = spark.createDataFrame([(1, 0, 0, "x"), (2, 1, 1, "y")], "m int, h int, a int, t string")
     f = spark.createDataFrame([(1, 2, 0)], "m int, h int, a int")
