@@ -60,7 +60,7 @@ class Encoder:
         parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n").split(_CUT)
         return parts if parts[0] else parts[1:]
 
-    def _learn(self, fresh: dict[str, None]) -> None:
+    def _learn(self, fresh: set[str]) -> None:
         known, old = self.pieces, self.old
         split: list[tuple[str, str, str]] = []
         need: dict[str, None] = {}
@@ -93,25 +93,14 @@ class Encoder:
             self.old, self.pieces = self.pieces, {}
         known = self.pieces
         cut = [self._parts(t) for t in texts]
-        # One lookup a piece; the places of unknown pieces are filled in afterwards.
-        found = [None if parts is None else list(map(known.get, parts)) for parts in cut]
-        gaps = []
-        for parts, ids in zip(cut, found, strict=True):
-            at = -1
-            try:
-                while ids is not None:
-                    at = ids.index(None, at + 1)
-                    gaps.append((ids, at, parts[at]))
-            except ValueError:
-                pass
-        if gaps:
-            self._learn(dict.fromkeys(p for _, _, p in gaps))
-            for ids, at, p in gaps:
-                ids[at] = known[p]
+        # Each distinct unknown piece once; then one lookup a piece.
+        fresh = set().union(*(parts for parts in cut if parts is not None)).difference(known)
+        if fresh:
+            self._learn(fresh)
         out: list[bytes | None] = []
-        for ids in found:
+        for parts in cut:
             try:
-                out.append(None if ids is None else b"".join(ids))
+                out.append(None if parts is None else b"".join(map(known.__getitem__, parts)))
             except TypeError:  # a piece without ids
                 out.append(None)
         rest = [i for i, x in enumerate(out) if x is None]
