@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import decontam, linededup, packing, quality, rules, simhash, tokenfiles, toxicity
+from terrace.llm import decontam, linededup, merkle, packing, quality, rules, simhash, tokenfiles, toxicity
 from terrace.llm.common import table
 from terrace.llm.pii import pseudonymise
 from terrace.llm.rules import quality_rules
@@ -104,3 +104,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     one stands in, and the result is good for a demonstration only."""
     out = pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get(PII_KEY, "demonstration key"))
     return out.select("doc_id", "text", F.size("pii_kinds").alias("n_values"), "pii_kinds")
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
