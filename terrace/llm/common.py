@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -58,6 +59,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """What finished jobs have left goes: written tables that nothing reads any more, and, once the driver has collected
+    its garbage, the shuffle files of queries that nobody holds."""
+    jvm, own = spark.sparkContext._jvm, scratch_dir(spark)
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("terrace-"):
+                at = jvm.org.apache.hadoop.fs.Path(f"{own}/{folder.rsplit('/', 1)[-1]}")
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have, whatever it has."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import decontam, linededup, merkle, packing, quality, rules, simhash, tokenfiles, toxicity
+from terrace.llm import decontam, linededup, merkle, packing, quality, rules, simhash, suffixes, tokenfiles, toxicity, whitening
 from terrace.llm.common import table
 from terrace.llm.pii import pseudonymise
 from terrace.llm.rules import quality_rules
@@ -106,6 +106,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("pii_kinds").alias("n_values"), "pii_kinds")
 
 
+@query("op11_incremental_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_difference_cover_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op13_merkle_manifest")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
