@@ -50,10 +50,23 @@ def html_to_text(c: Column, entities: bool = True) -> Column:
     return F.trim(F.regexp_replace(t, r"[\s ]+", " "))
 
 
+#: Stand around and between the groups of a match; removed from the text before.
+_OPEN, _NEXT, _CLOSE = "\u0001", "\u0002", "\u0003"
+
+
+def matched_groups(text: Column, pattern: str, groups: int) -> Column:
+    """Every match of a pattern as an array of its groups, in one pass over the text: each match is replaced by its groups
+    between marks, and the rest is cutting at marks. A group that took no part is empty; so is the array of a null text
+    null."""
+    marked = F.regexp_replace(F.translate(text, _OPEN + _NEXT + _CLOSE, ""), F.lit(pattern), F.lit(_OPEN + _NEXT.join(f"${i + 1}" for i in range(groups)) + _CLOSE))
+    cuts = F.split(marked, _OPEN)
+    return F.transform(F.slice(cuts, 2, 1 << 30), lambda c: F.split(F.substring_index(c, _CLOSE, 1), _NEXT))
+
+
 def extract_blocks(df: DataFrame, col: str, pattern: str, names: list[str], keep: list[str]) -> DataFrame:
-    """T5. One row per match of the pattern, a column per group, with its place. Each group costs a pass over the text."""
-    groups = [F.regexp_extract_all(col, F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
-    return df.select(*keep, F.posexplode(F.arrays_zip(*groups)).alias("place", "b")).select(*keep, "place", "b.*")
+    """T5. One row per match of the pattern, a column per group, with its place; one pass over the text."""
+    rows = df.select(*keep, F.posexplode(matched_groups(F.col(col), pattern, len(names))).alias("place", "b"))
+    return rows.select(*keep, "place", *[F.get("b", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def sections(df: DataFrame, col: str, marker: str, keep: list[str]) -> DataFrame:
@@ -66,10 +79,8 @@ def sections(df: DataFrame, col: str, marker: str, keep: list[str]) -> DataFrame
 
 def pct_pairs(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """T7. ``Name [80%] - Other [20%]`` as rows of (name, pct)."""
-    p = r"([^\[\]]+?)\s*\[(\d+)%\]"
-    both = F.arrays_zip(F.regexp_extract_all(col, F.lit(p), F.lit(1)).alias("name"), F.regexp_extract_all(col, F.lit(p), F.lit(2)).alias("pct"))
-    rows = df.select(*keep, F.explode(both).alias("x"))
-    return rows.select(*keep, F.trim(F.regexp_replace("x.name", r"^[\s\-–]+", "")).alias("name"), F.col("x.pct").cast("int").alias("pct"))
+    rows = df.select(*keep, F.explode(matched_groups(F.col(col), r"([^\[\]]+?)\s*\[(\d+)%\]", 2)).alias("x"))
+    return rows.select(*keep, F.trim(F.regexp_replace(F.get("x", F.lit(0)), r"^[\s\-–]+", "")).alias("name"), F.get("x", F.lit(1)).cast("int").alias("pct"))
 
 
 def split_names(df: DataFrame, col: str, keep: list[str], label: str | None = None) -> DataFrame:

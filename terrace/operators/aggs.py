@@ -117,3 +117,19 @@ def profile(df: DataFrame, entities: list[str], checks: dict[str, Column], exact
     """A12. One row: distinct entities and how many rows pass each check. At scale ``exact=False`` estimates."""
     count = F.count_distinct if exact else F.approx_count_distinct
     return df.agg(F.count("*").alias("rows"), *[count(c).alias(f"distinct_{c}") for c in entities], *[F.count_if(c).alias(name) for name, c in checks.items()])
+
+
+def profile_sketches(df: DataFrame, by: list[str], entities: list[str], checks: dict[str, Column], cols: list[str] = [], lg_k: int = 12) -> DataFrame:  # noqa: B006
+    """A7, A12. One row per group (a season, a load) that can be stored and merged: rows, rows that pass each check,
+    filled cells of each column, and a sketch of the distinct values of each entity. ``lg_k``: a sketch has 2^lg_k cells,
+    and its estimate a relative standard error of about 1.04 / sqrt(2^lg_k)."""
+    sketches = [F.hll_sketch_agg(F.col(c).cast("string"), F.lit(lg_k)).alias(f"sketch_{c}") for c in entities]
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.count_if(c).alias(name) for name, c in checks.items()], *[F.count(c).alias(f"n_{c}") for c in cols], *sketches)
+
+
+def merged_profile(sketches: DataFrame, by: list[str], entities: list[str], checks: list[str], cols: list[str] = []) -> DataFrame:  # noqa: B006
+    """A7, A12. The report over stored rows of ``profile_sketches``: counts and shares are exact, distinct numbers are
+    estimates. A new season adds its row; nothing is read again."""
+    shares = [x for c in cols for x in (F.sum(f"n_{c}").alias(f"n_{c}"), F.round(100.0 * F.sum(f"n_{c}") / F.sum("rows"), 4).alias(f"pct_{c}"))]
+    distinct = [F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{c}")).alias(f"distinct_{c}") for c in entities]
+    return sketches.groupBy(*by).agg(F.sum("rows").alias("rows"), *[F.sum(c).alias(c) for c in checks], *shares, *distinct)

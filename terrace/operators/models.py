@@ -25,10 +25,26 @@ def _with_gaps(df: DataFrame, features: list[str], cats: list[str]) -> DataFrame
     return df.withColumns({f"_n_{c}": F.col(c).isNull().cast("double") for c in features if c not in cats} | {c: F.coalesce(F.col(c), F.lit("")) for c in cats} | {c: F.col(c).cast("double") for c in features if c not in cats})
 
 
-def train_targets(df: DataFrame, targets: list[str], features: list[str], cats: list[str] = [], max_iter: int = 40, max_depth: int = 5, min_leaf: int = 15, seed: int = 42, share: float = 0.85, leaves: int | None = None) -> dict:  # noqa: B006
-    """M1. A pipeline per target, boosted trees with a learning rate of 0.05 on rows with ``split`` train, stopped by
-    those with val. Each tree sees ``share`` of the rows and chooses among that share of the inputs at every split. With
-    ``leaves`` no tree is so deep that it could have more. The assembled table is prepared once and shared by all targets."""
+def chosen_length(curve: list[float], patience: int = 50) -> int:
+    """Trees to keep by the validation error after each tree: those up to the least error, looked for until it has not
+    fallen for ``patience`` trees. Of equal errors the first counts."""
+    best = 0
+    for i, error in enumerate(curve):
+        if error < curve[best]:
+            best = i
+        if i - best >= patience:
+            break
+    return best + 1
+
+
+def train_targets(df: DataFrame, targets: list[str], features: list[str], cats: list[str] = [], max_iter: int = 40, max_depth: int = 5, min_leaf: int = 15, seed: int = 42, share: float = 0.85, leaves: int | None = None, patience: int = 50) -> dict:  # noqa: B006
+    """M1. A pipeline per target: boosted trees with a learning rate of 0.05 on rows with ``split`` train, as many of
+    them as the error on the rows with val asks for (``chosen_length``; all ``max_iter`` without such rows).
+
+    Each tree sees ``share`` of the rows and chooses among that share of the inputs at every split. With ``leaves`` no tree
+    is so deep that it could have more. The assembled table is prepared once and
+    shared by all targets. Trees follow from the seed, so the shorter model is the longer one's beginning.
+    """
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.regression import GBTRegressor
 
@@ -38,8 +54,12 @@ def train_targets(df: DataFrame, targets: list[str], features: list[str], cats:
     depth = min(max_depth, leaves.bit_length() - 1) if leaves else max_depth
     models = {}
     for y in targets:
-        gbt = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol=f"pred_{y}", stepSize=0.05, maxIter=max_iter, maxDepth=depth, minInstancesPerNode=min_leaf, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed, validationIndicatorCol="_val")
-        models[y] = PipelineModel([*prep.stages, gbt.fit(ready.filter(F.col(y).isNotNull()))])
+        gbt = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol=f"pred_{y}", stepSize=0.05, maxIter=max_iter, maxDepth=depth, minInstancesPerNode=min_leaf, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed)
+        known = ready.filter(F.col(y).isNotNull()).withColumn(y, F.col(y).cast("double"))
+        train, check = known.filter(~F.col("_val")), known.filter("_val")
+        fitted = gbt.fit(train)
+        length = max_iter if check.isEmpty() else chosen_length(fitted.evaluateEachIteration(check, "squared"), patience)
+        models[y] = PipelineModel([*prep.stages, fitted if length == max_iter else gbt.copy({gbt.maxIter: length}).fit(train)])
     ready.unpersist()
     return models
 
@@ -55,10 +75,17 @@ def importances(model, features: list[str], cats: list[str] = [], k: int = 10) -
 
 
 def score_targets(df: DataFrame, models: dict, features: list[str], cats: list[str] = [], counts: set[str] = frozenset(), digits: int = 2) -> DataFrame:  # noqa: B006
-    """M4. ``pred_<target>`` of every model in one plan; counts are not below 0; rounded."""
-    out = _with_gaps(df, features, cats)
+    """M4. ``pred_<target>`` of every model in one plan; counts are not below 0; rounded. Models that were trained together
+    share their preparation, which runs once; then come the trees of each."""
+    out, ready = _with_gaps(df, features, cats), None
     for y, m in models.items():
-        out = m.transform(out).drop("_x", "rawPrediction", *[f"_f_{c}" for c in features], *[f"_i_{c}" for c in cats])
+        steps = tuple(s.uid for s in m.stages[:-1])
+        if steps != ready:
+            out = out.drop("_x", *[f"_f_{c}" for c in features], *[f"_i_{c}" for c in cats])
+            for stage in m.stages[:-1]:
+                out = stage.transform(out)
+            ready = steps
+        out = m.stages[-1].transform(out).drop("rawPrediction")
         p = F.col(f"pred_{y}")
         out = out.withColumn(f"pred_{y}", F.round(F.when(p < 0, 0.0).otherwise(p) if y in counts else p, digits))
     return out.select(*df.columns, *[f"pred_{y}" for y in models])

@@ -26,16 +26,32 @@ def summed_before(df: DataFrame, by: str, order: list[Column], weight: Column, n
     return both.withColumn(name, F.col(name) + F.col("_start")).select(*df.columns, name)
 
 
-def rank_divergence(df: DataFrame, by: str, a: str, b: str, ties: list[str], cut: float = 1.0) -> DataFrame:
+#: Rows of a group that one task ranks.
+GROUP_ROWS = 1_000_000
+
+
+def rank_divergence(df: DataFrame, by: str, a: str, b: str, ties: list[str], cut: float = 1.0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """W12. Ranks by both values inside a group, their difference, the difference in population deviations of the group,
-    and a verdict from the cut on. Equal values rank by ``ties``, nulls last. Groups may be few and large: ranks come
-    from sorted ranges, deviations from one grouping."""
-    out = df
+    and a verdict from the cut on. Equal values rank by ``ties``, nulls last.
+
+    The size of the largest group is counted first. Up to ``group_rows`` all is windows over the group: one exchange,
+    nothing kept. Beyond that ranks come from sorted ranges, and a group may have any size.
+    """
+    largest = df.groupBy(by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    out, whole = df, Window.partitionBy(by)
     for c, rank in ((a, "rank_a"), (b, "rank_b")):
-        out = summed_before(out, by, [F.desc_nulls_last(c), *map(F.col, ties)], F.lit(1), rank).withColumn(rank, (F.col(rank) + 1).cast("int"))
+        order = [F.desc_nulls_last(c), *map(F.col, ties)]
+        if largest <= group_rows:
+            out = out.withColumn(rank, F.row_number().over(whole.orderBy(*order)))
+        else:
+            out = summed_before(out, by, order, F.lit(1), rank).withColumn(rank, (F.col(rank) + 1).cast("int"))
     out = out.withColumn("divergence", F.col("rank_a") - F.col("rank_b"))
-    spread = out.groupBy(F.col(by).alias("_by")).agg(F.stddev_pop("divergence").alias("_spread"))
-    out = out.join(spread, F.col(by).eqNullSafe(F.col("_by"))).withColumn("z", F.when(F.col("_spread") > 0, F.col("divergence") / F.col("_spread"))).drop("_by", "_spread")
+    if largest <= group_rows:
+        out = out.withColumn("_spread", F.stddev_pop("divergence").over(whole))
+    else:
+        spread = out.groupBy(F.col(by).alias("_by")).agg(F.stddev_pop("divergence").alias("_spread"))
+        out = out.join(spread, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    out = out.withColumn("z", F.when(F.col("_spread") > 0, F.col("divergence") / F.col("_spread"))).drop("_spread")
     return out.withColumn("verdict", F.when(F.col("z") >= cut, "undervalued").when(F.col("z") <= -cut, "overvalued").otherwise("aligned"))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.scalars import norm_name
-from terrace.operators.joins import best_match, contains_match
-from terrace.operators.names import name_score
+from terrace.operators.joins import contains_match
+from terrace.operators.names import best_name_match
 
 
 def assemble_sheet(rated: DataFrame, contests: DataFrame, unavailable: DataFrame, kickers: DataFrame, block: list[str], name: str, min_score: float = 1.0) -> DataFrame:
@@ -28,8 +28,7 @@ def assemble_sheet(rated: DataFrame, contests: DataFrame, unavailable: DataFrame
         known = df.withColumnRenamed(name, "_raw").join(hits.select(*block, "_raw", "_full"), [*block, "_raw"])
         return known.groupBy(*block, F.col("_full").alias(name)).agg(*cols)
 
-    score = F.greatest(name_score(F.col("_short"), F.col("_norm")), name_score(F.col("_norm"), F.col("_short")))
-    fits = best_match(spelled(contests), roster, block, "_raw", "_full", score, min_score)
+    fits = best_name_match(spelled(contests), roster, block, "_raw", "_short", "_full", "_norm", min_score, both_ways=True)
     within = lambda df: contains_match(spelled(df), roster, block, "_raw", "_short", "_norm", "_norm").join(one, [*block, "_norm"])
     out = rated
     for side in (

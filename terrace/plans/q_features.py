@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrace.functions.scalars import norm_name
-from terrace.operators import aggs, dedup, joins, lags, names, ranking, sets, standings
+from terrace.operators import aggs, dedup, incremental, joins, lags, names, ranking, sets, standings
+from terrace.operators.rounds import settled, shared_path
 from terrace.plans.bindings import MATCHES_SQL, RATINGS_SQL, SIDES_SQL, matches, ratings, sides, t
-from terrace.plans.registry import query
+from terrace.plans.registry import SQL, query
 
 
 def r6(c, name):
@@ -71,9 +72,10 @@ def j1(spark, d):
     return joins.lookup(m, dim, {"away": "s_suppkey"}, "opp_", ["s_name"]).select("match_id", "own_s_name", "opp_s_name")
 
 
-@query("j2_bridge_join", "SELECT o_orderkey, c_nationkey, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 5 > 0 LEFT JOIN nation ON c_nationkey = n_nationkey")
+@query("j2_bridge_join", "SELECT o_orderkey, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS c_nationkey, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal >= 0")
 def j2(spark, d):
-    bridge = t(spark, d, "customer").filter("c_custkey % 5 > 0")
+    # Customers in debt have no known nation.
+    bridge = t(spark, d, "customer").withColumn("c_nationkey", F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")))
     return joins.bridge_join(t(spark, d, "orders"), bridge, t(spark, d, "nation"), {"o_custkey": "c_custkey"}, "c_nationkey", {"c_nationkey": "n_nationkey"}, ["n_name"]).select("o_orderkey", "c_nationkey", "n_name")
 
 
@@ -124,8 +126,8 @@ def j5(spark, d):
 def j6(spark, d):
     p = t(spark, d, "part").select("p_brand", "p_type", "p_name", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("short"))
     variants = p.select("p_brand", "p_type", "short", F.explode(F.array("short", F.concat(F.lit("the "), F.col("short")))).alias("spelling")).distinct()
-    score = F.greatest(names.name_score(F.col("spelling"), F.col("p_name")), names.name_score(F.col("p_name"), F.col("spelling")))
-    return joins.best_match(variants, p.select("p_brand", "p_type", "p_name").distinct(), ["p_brand", "p_type"], "short", "p_name", score, 2.0)
+    roster = p.select("p_brand", "p_type", "p_name", F.col("p_name").alias("full")).distinct()
+    return names.best_name_match(variants, roster, ["p_brand", "p_type"], "short", "spelling", "p_name", "full", 2.0, both_ways=True)
 
 
 @query("j7_contains_match", f"WITH {_BLOCK} SELECT p_brand, p_type, short, min(p_name) AS p_name FROM p GROUP BY ALL")
@@ -134,11 +136,13 @@ def j7(spark, d):
     return joins.contains_match(p.select("p_brand", "p_type", "short").distinct(), p.select("p_brand", "p_type", "p_name"), ["p_brand", "p_type"], "short", "short", "p_name", "p_name")
 
 
-_FIX = "fixes AS (SELECT o_orderkey AS match_id, CAST(o_orderkey % 3 AS BIGINT) AS home_goals, CAST(NULL AS BIGINT) AS away_goals FROM orders WHERE o_orderkey % 5 = 0)"
+_FIX = "fixes AS (SELECT o_orderkey AS match_id, CAST(goals AS BIGINT) AS home_goals, CAST(NULL AS BIGINT) AS away_goals FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 3 END AS goals FROM orders))"
 
 
 def _fixes(spark, d):
-    return t(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("match_id"), (F.col("o_orderkey") % 3).alias("home_goals"), F.lit(None).cast("bigint").alias("away_goals"))
+    # A line for every order; those under way have no trusted value.
+    goals = F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 3)
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), goals.alias("home_goals"), F.lit(None).cast("bigint").alias("away_goals"))
 
 
 @query("j8_apply_corrections", f"WITH {MATCHES_SQL}, {_FIX} SELECT match_id, coalesce(f.home_goals, m.home_goals) AS home_goals, coalesce(f.away_goals, m.away_goals) AS away_goals FROM matches m LEFT JOIN fixes f USING (match_id)")
@@ -151,6 +155,15 @@ def j8b(spark, d):
     return joins.corrections(matches(spark, d), _fixes(spark, d), ["match_id"], ["home_goals"])
 
 
+@query("j8_correct_partitions", f"WITH {MATCHES_SQL}, {_FIX} SELECT match_id, m.season, coalesce(f.home_goals, m.home_goals) AS home_goals, m.away_goals FROM matches m LEFT JOIN fixes f USING (match_id)")
+def j8c(spark, d):
+    """The corrections written into a stored table, a folder per season."""
+    path = shared_path(spark, "corrected")
+    matches(spark, d).select("match_id", "season", "home_goals", "away_goals").write.partitionBy("season").parquet(path)
+    joins.correct_partitions(spark, path, _fixes(spark, d), ["match_id"], ["home_goals"], "season")
+    return spark.read.parquet(path)
+
+
 @query("j9_unmatched", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey")
 def j9(spark, d):
     big = t(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
@@ -181,11 +194,11 @@ def j12(spark, d):
     return joins.first_resolved(s, t(spark, d, "supplier").withColumnRenamed("s_suppkey", "code"), ["code"], ["player"], ["o_orderkey"], "s_name")
 
 
-@query("j13_merge_sheet", "SELECT o_orderkey, o_custkey, s_suppkey, s_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_nationkey AND s_suppkey % 2 = 0")
+@query("j13_merge_sheet", "SELECT o_orderkey, o_custkey, s_suppkey, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS s_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_nationkey")
 def j13(spark, d):
     report = t(spark, d, "orders").select("o_orderkey", "o_custkey")
     ids = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("id"))
-    sheet = t(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), "s_suppkey", "s_acctbal")
+    sheet = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_suppkey", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("s_acctbal"))
     return joins.merge_sheet(report, ids, sheet, ["o_custkey"], "id", ["s_suppkey", "s_acctbal"]).drop("id")
 
 
@@ -251,6 +264,37 @@ def w5(spark, d):
     return x.select("match_id", "player", r6(F.col("lag3"), "lag3"), r6(F.col("lag5"), "lag5"), "earlier")
 
 
+@query("w5_w6_incremental", SQL["w5_w6_player_lags"])
+def w5_rounds(spark, d):
+    """The same lags, season by season: each reads the state after the one before, and its own rows."""
+    r, done = ratings(spark, d), None
+    order, specs = ["season", "round", "match_id"], {"lag3": ("rating", 3), "lag5": ("rating", 5)}
+    state = incremental.no_state(r, ["player"], order, ["rating"])
+    for season in sorted(x.season for x in r.select("season").distinct().collect()):
+        rows, state = incremental.advance(state, r.filter(F.col("season") == season), ["player"], order, specs)
+        state = settled(state)
+        done = rows if done is None else done.unionByName(rows)
+    return done.select("match_id", "player", r6(F.col("lag3"), "lag3"), r6(F.col("lag5"), "lag5"), "earlier")
+
+
+@query(
+    "w4_incremental",
+    f"""WITH {SIDES_SQL}, last AS (SELECT season, max(round) AS round FROM sides GROUP BY season), p AS (SELECT s.*, row_number() OVER (PARTITION BY season, team ORDER BY s.round DESC, match_id DESC) AS k FROM sides s JOIN last USING (season) WHERE s.round < last.round)
+    SELECT season, team, round(avg(points) FILTER (WHERE k <= 3), 6) AS form3_points, round(avg(points) FILTER (WHERE k <= 5), 6) AS form5_points, count(*) FILTER (WHERE k <= 3) AS form3_n, count(*) FILTER (WHERE k <= 5) AS form5_n FROM p GROUP BY ALL""",
+)
+def w4_rounds(spark, d):
+    """Every team's form before the last round of its season, from states advanced round by round."""
+    s = sides(spark, d).select("season", "round", "team", "match_id", "points")
+    last = s.groupBy("season").agg(F.max("round").alias("_last"))
+    s = settled(s.join(last, "season").filter("round < _last").drop("_last"))
+    keys, order = ["season", "team"], ["round", "match_id"]
+    state = incremental.no_state(s, keys, order, ["points"])
+    for n in sorted(x.round for x in s.select("round").distinct().collect()):
+        state = settled(incremental.advance_matches(state, s.filter(F.col("round") == n), keys, order, ["points"], 5))
+    f = incremental.form(state, keys, ["points"])
+    return f.select(*keys, *[r6(F.col(f"form{w}_points"), f"form{w}_points") for w in (3, 5)], "form3_n", "form5_n")
+
+
 @query("a5_injury_features", f"WITH {RATINGS_SQL}, s AS (SELECT DISTINCT player, season FROM ratings), e AS (SELECT player, season AS es, rating FROM ratings WHERE source = 'error') SELECT player, season, count(es) FILTER (WHERE es = season - 1) AS injuries_prev, round(coalesce(sum(rating) FILTER (WHERE es = season - 1), 0), 4) AS days_prev, count(es) FILTER (WHERE es < season) AS injuries_career FROM s LEFT JOIN e USING (player) GROUP BY ALL")
 def a5(spark, d):
     r = ratings(spark, d)
@@ -304,6 +348,23 @@ def a12(spark, d):
     return aggs.profile(t(spark, d, "events"), ["user_id", "event_type"], {"high": F.col("value") > 50})
 
 
+@query(
+    "a12_profile_sketches",
+    f"WITH {RATINGS_SQL} SELECT count(*) AS rows, count(*) FILTER (WHERE rating > 50) AS high, count(player) AS n_player, round(100.0 * count(player) / count(*), 4) AS pct_player, true AS players_within, true AS sources_within FROM ratings",
+)
+def a12_sketches(spark, d):
+    """The report over all seasons from one stored row each. Estimates stand beside exact numbers: within three standard
+    errors."""
+    r = ratings(spark, d)
+    path = shared_path(spark, "profiles")
+    seasons = aggs.profile_sketches(r, ["season"], ["player", "source"], {"high": F.col("rating") > 50}, ["player"])
+    seasons.write.partitionBy("season").parquet(path)
+    report = aggs.merged_profile(spark.read.parquet(path), [], ["player", "source"], ["high"], ["player"])
+    exact = F.broadcast(r.agg(F.count_distinct("player").alias("players"), F.count_distinct("source").alias("sources")))  # one row
+    within = lambda c, n: (F.abs(F.col(c) - F.col(n)) <= 3 * 1.04 / 64 * F.col(n))
+    return report.join(exact).select("rows", "high", "n_player", "pct_player", within("distinct_player", "players").alias("players_within"), within("distinct_source", "sources").alias("sources_within"))
+
+
 @query(
     "w7_w11_season_features",
     f"""WITH {_SPEND}, y AS (SELECT player, season, CASE WHEN (player + season) % 5 > 0 THEN spent END AS spent FROM spend), x AS (SELECT player, season, spent, lag(season) OVER o AS ps, lag(spent) OVER o AS pv, avg(spent) OVER n AS m3, stddev_pop(spent) OVER n AS s3, count(spent) OVER n AS k3, first_value(spent IGNORE NULLS) OVER n AS f3, last_value(spent IGNORE NULLS) OVER n AS l3, avg(spent) OVER f AS ca, count(*) OVER f AS kf
