@@ -5,8 +5,9 @@ a trie; a word is read by the automaton of all terms at once, whose states are s
 lazily and kept, so most words fall out after a few letters. Every hit is weighed by its surroundings: inside quotation
 marks or after a word of reporting it counts as a mention, near other hits as abuse. Document features go into a
 logistic score whose weights come from the same bounded sample, and from copies of it: toxic texts with their terms
-misspelled, and other texts in which a term is quoted. A term allows no edits where these lead to words of texts
-without the label.
+misspelled, and other texts in which a term is quoted. Two neighbouring letters that changed places count as one edit.
+A word of texts without the label is no misspelling, however near a term it stands; a term allows no edits at all where
+several such texts have words near it.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MIN_TOXIC, MIN_PLACES, MIN_SHARE, MIN_LETTERS = 4, 0.01, 0.97, 4
 PRIOR, RIDGE = np.array([-3.5, 3.0, 2.0, 0.5, 1.0, 1.0, 1.5]), 0.5
 #: Hits of abuse never lower a score; only the bias and mentions may.
 LOWEST = np.array([-np.inf, 0.0, 0.0, -np.inf, 0.0, 0.0, 0.0])
+#: Texts without the label that have words near a term, from which on it allows no edits.
+STRICT_TEXTS = 5
 #: Words on either side of a hit within which other hits and words of reporting count, and quotation marks.
 CONTEXT, QUOTE = 6, 20
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -44,8 +47,8 @@ REPORTING = frozenset(
 
 
 def edits_allowed(term: str) -> int:
-    """Short terms must match as they are: one edit turns them into everyday words."""
-    return 0 if len(term) < 6 else 1 if len(term) < 10 else 2
+    """The shortest terms must match as they are."""
+    return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
 
 
 class Lexicon:
@@ -148,16 +151,29 @@ class Model:
     terms: list[str]
     weights: np.ndarray
     strict: frozenset[str] = frozenset()  # terms that must match letter for letter
+    exempt: frozenset[str] = frozenset()  # words that stand near a term and are none
     lexicon: Lexicon | None = field(default=None, compare=False)
     known: dict[str, tuple[int, int] | None] = field(default_factory=dict, compare=False)
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "weights": self.weights, "strict": self.strict, "lexicon": None, "known": {}}
+        return {"terms": self.terms, "weights": self.weights, "strict": self.strict, "exempt": self.exempt, "lexicon": None, "known": {}}
 
-    def hits(self, text: str) -> list[dict]:
-        """Every lexicon hit: word number, place, term, edits, and whether its window shows quotation."""
+    def match(self, word: str) -> tuple[int, int] | None:
+        """(edits, term number) of a word, if it is a term or a misspelt one."""
         if self.lexicon is None:
             self.lexicon = Lexicon(self.terms, self.strict)
+        got = self.lexicon.match(word)
+        if got is None and len(word) >= 4:
+            for i in range(len(word) - 1):
+                if word[i] != word[i + 1]:
+                    turned = self.lexicon.match(word[:i] + word[i + 1] + word[i] + word[i + 2 :])
+                    if turned and not turned[0] and self.lexicon.allowed[turned[1]]:
+                        got = (1, turned[1])
+                        break
+        return None if got and got[0] and word in self.exempt else got
+
+    def hits(self, text: str) -> list[dict]:
+        """Every lexicon hit: word number, place, term, edits, and whether its window shows quotation."""
         low = text.lower()
         known = self.known
         if len(known) > 400_000:
@@ -168,7 +184,7 @@ class Model:
             try:
                 m = known[w]
             except KeyError:
-                m = known[w] = self.lexicon.match(w)
+                m = known[w] = self.match(w)
             if m is not None:
                 found.append((i, m))
         if not found:
@@ -267,9 +283,12 @@ def learn(rows: list[tuple[str | None, int]]) -> Model:
     terms = sorted(terms + _stems(around, seen, n1, n0))
     if not n1 or not terms:
         return Model(terms, PRIOR.copy())
-    lexicon = Lexicon(terms)
-    near = (lexicon.match(w) for w in seen)
-    model = Model(terms, PRIOR.copy(), frozenset(terms[m[1]] for m in near if m and m[0]))
+    model = Model(terms, PRIOR.copy())
+    near = {w: terms[m[1]] for w in seen if (m := model.match(w)) and m[0]}
+    texts: Counter = Counter()
+    for w, term in near.items():
+        texts[term] += seen[w]
+    model = Model(terms, PRIOR.copy(), frozenset(t for t, k in texts.items() if k >= STRICT_TEXTS), frozenset(near))
     rows += _copies(rows, model)
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
