@@ -16,7 +16,7 @@ import zlib
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import by_row, fresh_name, row_hash, settle
@@ -250,15 +250,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     pairs = F.filter(pairs, lambda p: p["i"] != 0)
     runs = met.groupBy("doc_id", "row", "item_id", "view", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    values = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
-    runs = runs.filter(F.size("pairs") == F.size(values)).withColumn("verbatim", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    places = runs.groupBy("doc_id", "row", "item_id", "view").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n"), F.bool_and("verbatim").alias("verbatim"))
+    # Words put in or left out shift what follows: the runs of an item and a document are taken together, the largest
+    # first, and one that contradicts those before it is left out.
+    runs = runs.filter(_function("pairs")).groupBy("doc_id", "row", "item_id", "view").agg(F.sort_array(F.collect_list(F.struct(F.size("places").alias("size"), (-F.abs("shift")).alias("near"), "places", "pairs")), asc=False).alias("runs"))
+    none = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<struct<i:bigint,d:bigint>>").alias("pairs"))
+    both = lambda x, y: F.struct(F.array_union(x["places"], y["places"]).alias("places"), F.array_union(x["pairs"], y["pairs"]).alias("pairs"))
+    taken = F.aggregate("runs", none, lambda x, y: F.when(_function(F.array_union(x["pairs"], y["pairs"])), both(x, y)).otherwise(x))
+    places = runs.select("doc_id", "row", "item_id", "view", taken.alias("t")).select("doc_id", "row", "item_id", "view", F.size("t.places").alias("n"), F.forall("t.pairs", lambda p: p["i"] == p["d"]).alias("verbatim"))
     sizes = bench.groupBy("item_id", "view").agg(F.countDistinct("at").alias("windows"))
     share = (F.col("n") / F.col("windows")).alias("coverage")
     scored = places.join(sizes, ["item_id", "view"]).select("doc_id", "row", "item_id", share, "verbatim").filter(F.col("coverage") >= contained)
     return scored.groupBy("doc_id", "row", "item_id").agg(F.max("coverage").alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
 
 
+def _function(pairs) -> Column:
+    """Whether every item value has one document value."""
+    pairs = F.col(pairs) if isinstance(pairs, str) else pairs
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"])))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: whether it leaks, how many items, the smallest of them, the best coverage."""
     found = leaks(docs, benchmark, doc_id, text).groupBy("doc_id", "row").agg(

@@ -68,3 +68,13 @@ def test_the_curve_fits_documents_that_come_late(spark):
     curve = {r.doc_id: r.curve for r in packing.pack(df).collect()}
     late = {curve[i] for i in range(2400, 3300)}
     assert len(curve) == len(docs) and len(late) > 500
+
+
+def test_slots_agree_across_words_put_in(spark):
+    """A number that the item has twice stands for one number in a copy, also where words between its halves shift them."""
+    item = "The old farmer keeps {} brown cows in the wide north field and later he buys exactly {} white goats for the small barn near the river."
+    docs = [(1, item.format(5, 5)), (2, item.format(5, 9)), (3, item.format(5, 5).replace("and later", "and much later")), (4, item.format(5, 9).replace("and later", "and much later")), (5, item.format(12, 12))]
+    bench = spark.createDataFrame([(1, item.format(12, 12))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench, ).collect()}
+    assert {d for d, r in got.items() if r.contaminated} == {1, 3, 5}
+    assert got[5].verbatim and not got[3].verbatim
