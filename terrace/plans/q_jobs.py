@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrace.functions.scalars import norm_name, select_base
 from terrace.operators import aggs, dedup, guards, inference, joins, lags, names, ranking, standings
 from terrace.plans.bindings import RATINGS_SQL, ratings, sides, t
-from terrace.plans.q_features import _SPEND, _STAND, _WALK, _pairs, spend
+from terrace.plans.q_features import _STAND, _WALK, _pairs
 from terrace.plans.registry import query
 
 
@@ -46,15 +46,21 @@ def prematch(spark, d):
     return guards.assert_no_leakage(out.drop("day"), {"home_goals", "away_goals", "scored", "conceded", "points", "xg", "xg_home", "xg_away"})
 
 
-_METRICS = ("spent", "n")
+#: The season's metrics: sums, extremes and counts by kind. Each is one SQL expression, the same in both.
+_KINDS = {"urgent": "o_orderpriority = '1-URGENT'", "high": "o_orderpriority = '2-HIGH'", "medium": "o_orderpriority = '3-MEDIUM'", "plain": "o_orderpriority = '4-NOT SPECIFIED'", "low": "o_orderpriority = '5-LOW'"}
+_KINDS |= {"finished": "o_orderstatus = 'F'", "open": "o_orderstatus = 'O'", "partly": "o_orderstatus = 'P'", "spring": "month(o_orderdate) <= 6", "large": "o_totalprice > 200000"}
+_METRIC_OF = {"spent": "round(sum(o_totalprice), 2)", "units": "CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT)", "n": "count(*)", "top": "max(o_totalprice)", "least": "min(o_totalprice)", "span": "max(o_totalprice) - min(o_totalprice)"}
+_METRIC_OF |= {k: f"count(CASE WHEN {v} THEN 1 END)" for k, v in _KINDS.items()}
+_METRICS = tuple(_METRIC_OF)
+_SEASONS = f"spend AS (SELECT o_custkey AS player, CAST(year(o_orderdate) AS INTEGER) AS season, {', '.join(f'{v} AS {k}' for k, v in _METRIC_OF.items())} FROM orders GROUP BY ALL)"
 
 
 @query(
     "job_player_season_table",
-    f"""WITH {_SPEND}, p AS (SELECT a.player, a.season, a.spent AS target, a.n AS target_n FROM spend a JOIN spend b ON a.player = b.player AND a.season = b.season + 1),
+    f"""WITH {_SEASONS}, p AS (SELECT a.player, a.season, a.spent AS target, a.n AS target_n FROM spend a JOIN spend b ON a.player = b.player AND a.season = b.season + 1),
     w AS (SELECT player, season, {', '.join(f"CAST(lag({m}) OVER o AS DOUBLE) AS {m}_lag1, avg({m}) OVER l AS {m}_mean, stddev_pop({m}) OVER l AS {m}_std, count({m}) OVER l AS {m}_k, first_value({m}) OVER l AS {m}_f, last_value({m}) OVER l AS {m}_l, avg({m}) OVER f AS {m}_career" for m in _METRICS)}, count(*) OVER f AS earlier FROM spend
       WINDOW o AS (PARTITION BY player ORDER BY season), l AS (PARTITION BY player ORDER BY season RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY player ORDER BY season RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    e AS (SELECT o_custkey AS player, CAST(year(o_orderdate) AS INTEGER) AS es, CAST(o_orderkey % 40 AS DOUBLE) AS days FROM orders WHERE o_orderpriority = '1-URGENT'),
+    e AS (SELECT o_custkey AS player, CAST(year(o_orderdate) AS INTEGER) AS es, CAST(o_orderkey % 40 AS DOUBLE) AS days FROM orders),
     i AS (SELECT s.player, s.season, count(es) FILTER (WHERE es = s.season - 1) AS injuries_prev, coalesce(sum(days) FILTER (WHERE es = s.season - 1), 0.0) AS days_prev, count(es) FILTER (WHERE es < s.season) AS injuries_career FROM spend s LEFT JOIN e ON e.player = s.player GROUP BY ALL),
     b AS (SELECT o_custkey AS player, CAST(year(o_orderdate) AS INTEGER) AS season, o_orderpriority AS role, count(*) AS k FROM orders GROUP BY ALL),
     v AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY player, season ORDER BY k DESC, role) = 1)
@@ -66,12 +72,12 @@ _METRICS = ("spent", "n")
 def player_season(spark, d):
     """Job B: one row per player and season with a season before: targets, earlier seasons of every metric, injuries of
     earlier seasons, the role seen most, profile, price, split."""
-    agg = spend(spark, d)
+    agg = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season")).agg(*[F.expr(v).alias(k) for k, v in _METRIC_OF.items()])
     spine = joins.with_previous_season(agg.select("player", "season", F.col("spent").alias("target"), F.col("n").alias("target_n")), "player", "season", [])
     feats = lags.season_features(agg, "player", "season", list(_METRICS))
     rounded = {f"{m}_{k}": F.round(f"{m}_{k}", 4) for m in _METRICS for k in ("mean", "std", "trend", "career")}
     o = t(spark, d, "orders").select(F.col("o_custkey").alias("player"), F.year("o_orderdate").alias("season"), F.col("o_orderpriority").alias("role"), (F.col("o_orderkey") % 40).cast("double").alias("days"))
-    hurt = aggs.injury_features(agg, o.filter("role = '1-URGENT'"), "player", "season", "days")
+    hurt = aggs.injury_features(agg, o, "player", "season", "days")
     role = dedup.majority(o, ["player", "season"], "role").select("player", "season", "role")
     out = spine.join(feats.withColumns(rounded), ["player", "season"]).join(hurt, ["player", "season"]).join(role, ["player", "season"])
     people = t(spark, d, "customer").withColumn("price", F.round(F.col("c_acctbal") / 100, 2))
