@@ -29,6 +29,8 @@ MAGIC = b"TEFIDS01"
 _HEADER = struct.Struct("<5Q")
 #: Ids of a file, about; a file is read whole by one task. It ends with the document that reaches this.
 FILE_IDS = 1_000_000
+#: Documents whose ends are looked up together when a file is read.
+SELECTED = 4_096
 
 
 class EliasFano:
@@ -57,13 +59,21 @@ class EliasFano:
         return (((self.lower[at >> 3] >> (at & 7)) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(1)
 
     def select(self, i: int) -> int:
-        """Value number i: find the directory block, then the one inside its 64 bytes."""
+        """Value number i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        block = int(np.searchsorted(self.ranks, i, "right")) - 1
-        bits = np.unpackbits(self.upper[64 * block : 64 * block + 64], bitorder="little")
-        at = 512 * block + int(np.flatnonzero(bits)[i - self.ranks[block]])
-        return int(((at - i) << self.low_bits) | self._low(np.array([i]))[0])
+        return int(self.select_range(i, i + 1)[0])
+
+    def select_range(self, first: int, end: int) -> np.ndarray:
+        """Values ``first`` to ``end`` - 1: the directory names the blocks of 512 bits that hold their ones, and only
+        those are unpacked."""
+        if first >= end:
+            return np.zeros(0, np.int64)
+        a, b = np.searchsorted(self.ranks, (first, end - 1), "right") - 1
+        bits = np.unpackbits(self.upper[64 * a : 64 * (b + 1)], bitorder="little")
+        at = 512 * a + np.flatnonzero(bits)[first - self.ranks[a] : end - self.ranks[a]]
+        i = np.arange(first, end)
+        return ((at - i) << self.low_bits) | self._low(i)
 
     def all(self) -> np.ndarray:
         i = np.arange(self.n)
@@ -169,19 +179,22 @@ READ_SCHEMA = "file string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per document, from the files: its place in the corpus-wide id array, length and checksum."""
+    step = SELECTED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids, ends, tokens = unpack_file(data.as_py())
-                stop = ends.all()
-                start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
                 raw = tokens.astype("<u4")
-                crc = [zlib.crc32(raw[i:j]) for i, j in zip(start, stop, strict=True)]
-                for k in range(0, len(ids), 50_000):
-                    part = slice(k, k + 50_000)
+                # Ends come from the select structure, some documents at a time: no table of all of them.
+                last = 0
+                for k in range(0, ends.n, step):
+                    stop = ends.select_range(k, min(ends.n, k + step))
+                    start = np.concatenate([[last], stop[:-1]]).astype(np.int64)
+                    last = int(stop[-1])
+                    crc = [zlib.crc32(raw[i:j]) for i, j in zip(start, stop, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(ids[part])), pa.array(ids[part], pa.int64()), pa.array(start[part]), pa.array((stop - start)[part]), pa.array(crc[part], pa.int64())],
+                        [pa.array([name] * len(stop)), pa.array(ids[k : k + step], pa.int64()), pa.array(start), pa.array(stop - start), pa.array(crc, pa.int64())],
                         names=["file", "doc_id", "at", "n_tokens", "ids_crc32"],
                     )
 

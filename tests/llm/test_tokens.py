@@ -72,6 +72,8 @@ def test_elias_fano_round_trip(values):
     assert ef.all().tolist() == values
     for i in {0, len(values) // 2, len(values) - 1} if values else ():
         assert ef.select(i) == values[i]
+    for a, b in ((0, len(values)), (len(values) // 3, len(values) // 2), (len(values), len(values))):
+        assert ef.select_range(a, b).tolist() == values[a:b]
     with pytest.raises(IndexError):
         ef.select(len(values))
 
@@ -117,3 +119,12 @@ def test_files_are_the_same_when_written_again(spark):
         at = f.removeprefix("file://")
         seen.append({n: open(os.path.join(at, n), "rb").read() for n in sorted(os.listdir(at)) if n.endswith(".efids")})
     assert seen[0] == seen[1] and seen[0]
+
+
+def test_reading_goes_through_select(spark, monkeypatch):
+    """Files are read in steps smaller than a file, with the same result."""
+    whole = sorted(map(tuple, tokenfiles.token_files(frame(spark)).collect()), key=str)
+    monkeypatch.setattr(tokenfiles, "SELECTED", 2)
+    assert sorted(map(tuple, tokenfiles.token_files(frame(spark)).collect()), key=str) == whole
+    starts = sorted((r[1], r[2]) for r in whole)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
