@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op8_sql() -> str:
     """The same counts with lists and windows; SQL meets every n-gram, not only those that may repeat."""
-    over = " OR ".join(f"(coalesce(c{n}, 0) >= {rules.MIN_REPEAT_CHARS} AND coalesce(c{n}, 0) > {v}::DOUBLE * greatest(1, word_chars))" for n, v in rules.LIMITS.items())
+    over = " OR ".join(f"coalesce(c{n}, 0) > {v}::DOUBLE * greatest(1, word_chars)" for n, v in rules.LIMITS.items())
     each = ", ".join(f"coalesce(max(chars) FILTER (WHERE n = {n}), 0) AS c{n}" for n in rules.LIMITS)
     most = ", ".join(f"coalesce(c{n}, 0)" for n in rules.LIMITS)
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -79,7 +80,7 @@ def _op8_sql() -> str:
     c AS (SELECT doc_id, coalesce(max(k) FILTER (WHERE n = 8), 0) AS n_repeat_words, {each} FROM s GROUP BY doc_id),
     a AS (SELECT b.*, coalesce(n_repeat_words, 0) AS n_repeat_words, {', '.join(f'c{n}' for n in rules.LIMITS)} FROM b LEFT JOIN c USING (doc_id))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-      NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR (line_chars >= {rules.MIN_REPEAT_CHARS} AND line_chars > {rules.LINE_LIMIT}::DOUBLE * greatest(1, word_chars)) OR {over}) AS kept,
+      NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR line_chars > {rules.LINE_LIMIT}::DOUBLE * greatest(1, word_chars) OR {over}) AS kept,
       line_chars, CAST(greatest({most}) AS BIGINT) AS repeat_chars FROM a"""
 
 
@@ -100,9 +101,11 @@ PII_KEY = "spark.terrace.pii.key"
 
 @query("op10_feistel_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for every validated value. Where the session names no key, as in the check, a public
-    one stands in, and the result is good for a demonstration only."""
-    out = pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get(PII_KEY, "demonstration key"))
+    """Documents with pseudonyms for every validated value. Where the session names no key, it gets one that nobody
+    knows: values stay linked within the session, and nobody can undo them."""
+    if spark.conf.get(PII_KEY, None) is None:
+        spark.conf.set(PII_KEY, secrets.token_hex(32))
+    out = pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get(PII_KEY))
     return out.select("doc_id", "text", F.size("pii_kinds").alias("n_values"), "pii_kinds")
 
 

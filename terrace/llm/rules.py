@@ -16,8 +16,6 @@ _SYMBOLS = "#*$%&|<>"
 #: Largest share of a text's characters in repeated n-grams of 5 to 10 words, and in repeated lines.
 LIMITS = {5: 0.42, 6: 0.41, 7: 0.40, 8: 0.39, 9: 0.38, 10: 0.37}
 LINE_LIMIT = 0.30
-#: Repeats of less than this many characters in all never reject a text: shares of short texts say little.
-MIN_REPEAT_CHARS = 120
 
 
 def _covered(h: np.ndarray, n: int, words: int) -> np.ndarray | None:
@@ -85,9 +83,7 @@ def repetition(text: str | None, lengths: tuple[int, ...] = (5, 6, 7, 8, 9, 10))
 def verdict(r: dict) -> bool:
     """Keep a text unless too many of its characters lie in repeated n-grams or lines."""
     chars = max(1, r["word_chars"])
-    if r["line_chars"] >= MIN_REPEAT_CHARS and r["line_chars"] > LINE_LIMIT * chars:
-        return False
-    return not any(v >= MIN_REPEAT_CHARS and v > LIMITS[k] * chars for k, v in r["repeat_chars"].items())
+    return r["line_chars"] <= LINE_LIMIT * chars and all(v <= LIMITS[k] * chars for k, v in r["repeat_chars"].items())
 
 
 SCHEMA = (
