@@ -129,8 +129,7 @@ def norm_name(c: Column, stroke: bool = False) -> Column:
     """P12. Lower case without accents; all but letters, digits and blanks becomes one blank; null becomes ''.
     ``stroke`` first turns a stroked O into a plain one."""
     c = F.translate(c, "Øø", "Oo") if stroke else c
-    plain = F.regexp_replace(F.lower(strip_accents(F.coalesce(c, F.lit("")))), "[^a-z0-9 ]", " ")
-    return F.trim(F.regexp_replace(plain, " +", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))
 
 
 def title_name(c: Column) -> Column:

@@ -30,6 +30,18 @@ def final_standing(df: DataFrame, keys: list[str], round_: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), round_).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def injury_columns(key: str, season: str, n: Column, days: Column) -> list[Column]:
+    """A5. Over rows per key and season with their number of episodes and days: those of the season before, and the
+    episodes of all earlier seasons; none is 0. A row whose numbers are null has none of its own."""
+    w = Window.partitionBy(key).orderBy(season)
+    past = w.rangeBetween(Window.unboundedPreceding, -1)
+    return [
+        F.coalesce(F.sum(n).over(w.rangeBetween(-1, -1)), F.lit(0)).alias("injuries_prev"),
+        F.coalesce(F.sum(days).over(w.rangeBetween(-1, -1)), F.lit(0.0)).alias("days_prev"),
+        F.coalesce(F.sum(n).over(past), F.lit(0)).alias("injuries_career"),
+    ]
+
+
 def injury_features(spine: DataFrame, episodes: DataFrame, key: str, season: str, days: str) -> DataFrame:
     """A5. Episodes and days of the season before, and episodes of all earlier seasons; none is 0.
 
@@ -39,16 +51,7 @@ def injury_features(spine: DataFrame, episodes: DataFrame, key: str, season: str
     counts = episodes.groupBy(key, season).agg(F.count("*").alias("n"), F.sum(days).alias("d"))
     rows = spine.select(key, season).distinct().withColumns({"n": F.lit(0).cast("bigint"), "d": F.lit(0.0), "_spine": F.lit(True)})
     both = rows.unionByName(counts.withColumn("_spine", F.lit(False)))
-    w = Window.partitionBy(key).orderBy(season)
-    out = both.select(
-        key,
-        season,
-        "_spine",
-        F.coalesce(F.sum("n").over(w.rangeBetween(-1, -1)), F.lit(0)).alias("injuries_prev"),
-        F.coalesce(F.sum("d").over(w.rangeBetween(-1, -1)), F.lit(0.0)).alias("days_prev"),
-        F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("injuries_career"),
-    )
-    return out.filter("_spine").drop("_spine")
+    return both.select(key, season, "_spine", *injury_columns(key, season, F.col("n"), F.col("d"))).filter("_spine").drop("_spine")
 
 
 def rosters(df: DataFrame, block: list[str], name: str) -> DataFrame:

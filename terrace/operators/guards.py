@@ -51,7 +51,3 @@ def split_scorable(prices: DataFrame, history: DataFrame, key: str) -> tuple[Dat
     """F7. Priced keys with a history row, and those without."""
     known = history.select(key).distinct()
     return prices.join(known, key, "left_semi"), prices.join(known, key, "left_anti")
-
-
-def known(c: Column) -> Column:
-    return c.isNotNull()

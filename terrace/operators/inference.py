@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,7 +84,3 @@ def rule_index(x1: Column, x2: Column, first=STARTS, second=EXPERTS, out=INDEX,
 def starter_signal(unavailable: Column, pct: Column) -> Column:
     """M7. Unavailable is 0; a contest's percentage as a tenth; else unknown."""
     return F.when(F.coalesce(unavailable, F.lit(False)), 0.0).when(pct.isNotNull(), pct / 10.0)
-
-
-def any_of(*cols: Column) -> Column:
-    return reduce(lambda a, b: a | b, cols)

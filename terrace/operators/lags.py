@@ -15,11 +15,11 @@ def player_lags(df: DataFrame, player: str, order: list[str], specs: dict[str, t
     return df.filter(F.col(player).isNotNull()).select("*", *[F.avg(c).over(w.rowsBetween(-k, -1)).alias(name) for name, (c, k) in specs.items()], earlier.alias("earlier"))
 
 
-def season_features(df: DataFrame, player: str, season: str, metrics: list[str], span: int = 3) -> DataFrame:
+def season_features(df: DataFrame, player: str, season: str, metrics: list[str], span: int = 3, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """W7 to W11. For each metric: last season's value (null after a gap), mean, population spread and trend over the
     seasons of the last three that have one (spread and trend need two), mean over all earlier seasons; and how many
     seasons came earlier. The trend is the least-squares slope over places 0..n-1 of the values, which for up to three
-    is (last - first) / (n - 1)."""
+    is (last - first) / (n - 1). The columns ``keep`` stay beside them, so that no join has to bring them back."""
     if span > 3:
         raise ValueError("the closed form of the trend holds for up to three seasons")
     w = Window.partitionBy(player).orderBy(season)
@@ -35,4 +35,4 @@ def season_features(df: DataFrame, player: str, season: str, metrics: list[str],
             F.avg(m).over(far).alias(f"{m}_career"),
         ]
 
-    return df.select(player, season, *[c for m in metrics for c in of(m)], F.count("*").over(far).alias("earlier_seasons"))
+    return df.select(player, season, *keep, *[c for m in metrics for c in of(m)], F.count("*").over(far).alias("earlier_seasons"))

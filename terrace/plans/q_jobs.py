@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrace.functions.scalars import norm_name, select_base
 from terrace.operators import aggs, dedup, guards, inference, joins, lags, names, ranking, standings
+from terrace.operators.rounds import shared_path
 from terrace.plans.bindings import RATINGS_SQL, ratings, sides, t
 from terrace.plans.q_features import _STAND, _WALK, _pairs
-from terrace.plans.registry import query
+from terrace.plans.registry import SQL, query
+from terrace.sources import tables
 
 
 _STATE = ("position", "points", "difference", "form3_points", "form3_scored", "form3_xg", "form3_n")
@@ -80,6 +84,11 @@ def player_season(spark, d):
     hurt = aggs.injury_features(agg, o, "player", "season", "days")
     role = dedup.majority(o, ["player", "season"], "role").select("player", "season", "role")
     out = spine.join(feats.withColumns(rounded), ["player", "season"]).join(hurt, ["player", "season"]).join(role, ["player", "season"])
+    return _player_season_row(spark, d, out)
+
+
+def _player_season_row(spark, d, out):
+    """The rest of job B: profile, nation, price, split and the order of columns."""
     people = t(spark, d, "customer").withColumn("price", F.round(F.col("c_acctbal") / 100, 2))
     out = joins.lookup(out, people, {"player": "c_custkey"}, "", ["c_mktsegment", "c_nationkey", "price"])
     out = joins.lookup(out, t(spark, d, "nation"), {"c_nationkey": "n_nationkey"}, "", ["n_name", "n_regionkey"])
@@ -90,6 +99,25 @@ def player_season(spark, d):
     return select_base(named, ["player", "season", "target", "target_n", *of, "earlier_seasons", "injuries_prev", "days_prev", "injuries_career", "role", "segment", "nation", "price", "in_region", "split"], {})
 
 
+@query("job_player_season_stored", SQL["job_player_season_table"])
+def player_season_stored(spark, d):
+    """Job B over facts that are stored in buckets by player: groupings and windows read them as they lie, and no row of
+    the fact side is exchanged. Equal to the job above."""
+    name = f"facts_{uuid.uuid4().hex}"
+    orders = t(spark, d, "orders").withColumnsRenamed({"o_custkey": "player"})
+    return _player_season_row(spark, d, season_rows(tables.write_buckets(orders, name, shared_path(spark, name), ["player"], 8)))
+
+
+def season_rows(orders):
+    """Targets, features, injuries and role of each player's seasons, from orders by player."""
+    own = {"role": F.mode("o_orderpriority", True), "_hurt": F.count("*"), "_days": F.sum((F.col("o_orderkey") % 40).cast("double"))}
+    agg = orders.groupBy("player", F.year("o_orderdate").alias("season")).agg(*[F.expr(v).alias(k) for k, v in _METRIC_OF.items()], *[v.alias(k) for k, v in own.items()])
+    feats = lags.season_features(agg, "player", "season", list(_METRICS), keep=["spent", "n", *own])
+    rounded = {f"{m}_{k}": F.round(f"{m}_{k}", 4) for m in _METRICS for k in ("mean", "std", "trend", "career")}
+    out = feats.withColumns(rounded).select("*", *aggs.injury_columns("player", "season", F.col("_hurt"), F.col("_days")))
+    return joins.with_previous_season(out.withColumnsRenamed({"spent": "target", "n": "target_n"}), "player", "season", []).drop("_hurt", "_days")
+
+
 @query(
     "job_report",
     f"""WITH {RATINGS_SQL}, a AS (SELECT player, avg(rating) AS m, count(*) AS n FROM ratings WHERE season = 8 GROUP BY player), k AS (SELECT player, round(m, 6) AS mean, n, CAST(row_number() OVER (ORDER BY round(m, 6) DESC, player) AS INTEGER) AS place FROM a)

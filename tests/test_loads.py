@@ -91,3 +91,17 @@ def test_layout_by_key_needs_no_exchange(spark, tmp_path):
     finally:
         spark.sql("DROP TABLE layout_left")
         spark.sql("DROP TABLE layout_right")
+
+
+def test_the_season_job_exchanges_no_facts(spark, tmp_path):
+    """Grouping, features, injuries, role and the season before, over facts in buckets."""
+    from terrace.plans import q_jobs
+
+    rows = spark.range(400).selectExpr("id % 20 as player", "id as o_orderkey", "cast(id as double) as o_totalprice", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority", "timestampadd(DAY, cast(id * 5 as int), timestamp'1995-01-01') as o_orderdate")
+    stored = tables.write_buckets(rows, "season_facts", f"{tmp_path}/f", ["player"], 4)
+    try:
+        out = q_jobs.season_rows(stored)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 20 * 5
+    finally:
+        spark.sql("DROP TABLE season_facts")
