@@ -50,6 +50,31 @@ def prematch(spark, d):
     return guards.assert_no_leakage(out.drop("day"), {"home_goals", "away_goals", "scored", "conceded", "points", "xg", "xg_home", "xg_away"})
 
 
+_PLAYER_STATE = ("position", "points", "difference")
+
+
+@query(
+    "job_prematch_player_features",
+    _STAND
+    + f""", players AS (SELECT l_orderkey AS match_id, l_suppkey AS player, max(l_linestatus) = 'O' AS is_home, sum(l_quantity) AS rating FROM lineitem GROUP BY ALL),
+    seen AS (SELECT match_id, player, season, round, day, team, opponent, rating FROM players JOIN sides USING (match_id, is_home)),
+    lagged AS (SELECT *, round(avg(rating) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS rating_lag3, round(avg(rating) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS rating_lag5, count(*) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS earlier FROM seen WINDOW w AS (PARTITION BY player ORDER BY day, match_id))
+    SELECT l.match_id, l.player, l.season, l.round, l.team, l.opponent, rating_lag3, rating_lag5, earlier, {', '.join(f'{q}.{c} AS {n}_{c}' for q, n in (('o', 'own'), ('p', 'opp')) for c in _PLAYER_STATE)}
+    FROM lagged l JOIN standing o ON o.season = l.season AND o.round = l.round AND o.team = l.team JOIN standing p ON p.season = l.season AND p.round = l.round AND p.team = l.opponent""",
+)
+def prematch_players(spark, d):
+    """Job A for players: everybody who plays a match, with the means of their last ratings across seasons, how often they
+    played before, and both teams' standing before the round. The match's own rating stays out."""
+    li = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("player")).agg((F.max("l_linestatus") == "O").alias("is_home"), F.sum("l_quantity").alias("rating"))
+    s = sides(spark, d)
+    seen = li.join(s.select("match_id", "is_home", "season", "round", "day", "team", "opponent"), ["match_id", "is_home"])
+    out = lags.player_lags(seen, "player", ["day", "match_id"], {"rating_lag3": ("rating", 3), "rating_lag5": ("rating", 5)}).withColumns({c: F.round(c, 6) for c in ("rating_lag3", "rating_lag5")})
+    state = standings.standings_before(s)
+    for who, prefix in (("team", "own_"), ("opponent", "opp_")):
+        out = joins.lookup(out, state, {"season": "season", "round": "round", who: "team"}, prefix, list(_PLAYER_STATE))
+    return guards.assert_no_leakage(out.drop("day", "is_home", "rating"), {"rating", "scored", "conceded", "home_goals", "away_goals"})
+
+
 #: The season's metrics: sums, extremes and counts by kind. Each is one SQL expression, the same in both.
 _KINDS = {"urgent": "o_orderpriority = '1-URGENT'", "high": "o_orderpriority = '2-HIGH'", "medium": "o_orderpriority = '3-MEDIUM'", "plain": "o_orderpriority = '4-NOT SPECIFIED'", "low": "o_orderpriority = '5-LOW'"}
 _KINDS |= {"finished": "o_orderstatus = 'F'", "open": "o_orderstatus = 'O'", "partly": "o_orderstatus = 'P'", "spring": "month(o_orderdate) <= 6", "large": "o_totalprice > 200000"}
