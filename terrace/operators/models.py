@@ -91,6 +91,49 @@ def score_targets(df: DataFrame, models: dict, features: list[str], cats: list[s
     return out.select(*df.columns, *[f"pred_{y}" for y in models])
 
 
+def store_trees(models: dict, path: str) -> None:
+    """M4. Each target's preparation and trees, as a folder of its own."""
+    for y, m in models.items():
+        m.write().overwrite().save(f"{path}/{y}")
+
+
+def _tree(nodes: dict, at: int, inputs: list[Column]) -> Column:
+    node = nodes[at]
+    if node["leftChild"] < 0:
+        return F.lit(float(node["prediction"]))
+    split, x = node["split"], inputs[node["split"]["featureIndex"]]
+    left = x <= split["leftCategoriesOrThreshold"][0] if split["numCategories"] < 0 else x.isin(list(split["leftCategoriesOrThreshold"]))
+    return F.when(left, _tree(nodes, node["leftChild"], inputs)).otherwise(_tree(nodes, node["rightChild"], inputs))
+
+
+def score_stored(df: DataFrame, path: str, targets: list[str], features: list[str], cats: list[str] = [], counts: set[str] = frozenset(), digits: int = 2) -> DataFrame:  # noqa: B006
+    """M4 from stored trees: every tree becomes an expression over the prepared columns, so scoring is part of the plan's
+    generated code, without vectors. The same numbers as ``score_targets``."""
+    from pyspark.ml import PipelineModel
+
+    spark, out, ready = df.sparkSession, _with_gaps(df, features, cats), None
+    numeric = [c for c in features if c not in cats]
+    inputs = [F.col(c).cast("double") for c in [*(f"_f_{c}" for c in numeric), *(f"_n_{c}" for c in numeric), *(f"_i_{c}" for c in cats)]]
+    for y in targets:
+        m = PipelineModel.load(f"{path}/{y}")
+        steps = tuple(s.uid for s in m.stages[:-2])
+        if steps != ready:
+            out = out.drop(*[f"_f_{c}" for c in features], *[f"_i_{c}" for c in cats])
+            for stage in m.stages[:-2]:  # all but the assembly and the trees
+                out = stage.transform(out)
+            ready = steps
+        folder = f"{path}/{y}/stages/*_{m.stages[-1].uid}"
+        # As many rows as the trees have nodes.
+        trees: dict[int, dict] = {}
+        for r in spark.read.parquet(f"{folder}/data").select("treeID", "nodeData").collect():
+            trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+        total = F.lit(0.0)
+        for k, weight in enumerate(m.stages[-1].treeWeights):
+            total = total + F.lit(float(weight)) * _tree(trees[k], 0, inputs)
+        out = out.withColumn(f"pred_{y}", F.round(F.when(total < 0, 0.0).otherwise(total) if y in counts else total, digits))
+    return out.select(*df.columns, *[f"pred_{y}" for y in targets])
+
+
 def baselines(df: DataFrame, y: str, last: str, own: str, x: str, fit: Column) -> DataFrame:
     """M2. Predictions of the train mean, of last season's value (else that mean), of the player's own mean (else that
     mean), and of a line on one variable fitted on train rows."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import text_blocks as tb
 from terrace.operators import aggs, inference, models, sheets
+from terrace.operators.rounds import shared_path
 from terrace.plans.bindings import RATINGS_SQL, ratings, t
 from terrace.plans.q_scalars import _SPLIT, split_ratings
 from terrace.plans.registry import query
@@ -270,6 +271,19 @@ def m1_baselines(spark, d):
     return out.select("target", "n", F.round("base", 4).alias("mae_mean"), (F.col("own") < F.col("base")).alias("trees_better"))
 
 
+@query("m4_stored_trees", _MODEL_SQL + " " + " UNION ALL ".join(f"""SELECT '{k}' AS target, count(*) AS n, true AS equal_scores, true AS not_negative FROM m WHERE split = 'test'""" for k in ("y", "early")))
+def m4_stored(spark, d):
+    """Scores from stored trees as expressions, beside those of the models: the same for every row."""
+    rows, features, cats = _table(spark, d), ["balance", "month", "priority"], ["priority"]
+    made = models.train_targets(rows, ["y", "early"], features, cats, max_iter=6, leaves=15)
+    path, test = shared_path(spark, "trees"), rows.filter("split = 'test'").select("o_orderkey", *features)
+    models.store_trees(made, path)
+    own = models.score_targets(test, made, features, cats, {"y", "early"}, 6).select("o_orderkey", F.col("pred_y").alias("own_y"), F.col("pred_early").alias("own_early"))
+    both = models.score_stored(test, path, ["y", "early"], features, cats, {"y", "early"}, 6).join(own, "o_orderkey")
+    each = F.array(*[F.struct(F.lit(k).alias("target"), F.col(f"pred_{k}").alias("p"), F.col(f"own_{k}").alias("o")) for k in ("y", "early")])
+    return both.select(F.inline(each)).groupBy("target").agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("p") - F.col("o")) <= 2e-6).alias("equal_scores"), (F.min("p") >= 0).alias("not_negative"))
+
+
 @query("m3_importances")
 def m3(spark, d):
     rows, features, cats = _table(spark, d), ["balance", "month", "priority"], ["priority"]
