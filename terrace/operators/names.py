@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,27 +107,23 @@ def greedy_match(pairs: DataFrame, block: list[str], a: str, b: str, score: str,
     no part; of repeated pairs the best counts.
     """
     left = pairs.dropna(subset=[*block, a, b, score]).groupBy(*block, a, b).agg(F.max(score).alias(score))
-    left = settled(left)
-    taken = left.limit(0)
-    count = left.count()
-    while count:
+    left, taken = settled(left), None
+    also = lambda rows: rows if taken is None else taken.unionByName(rows)
+    while True:
         sizes = left.groupBy(*block).agg(F.count("*").alias("_pairs"))
+        before, largest = sizes.agg(F.sum("_pairs"), F.max("_pairs")).first()
+        if (largest or 0) <= walk_pairs:
+            return also(_walked(left, block, a, b, score))
         small = left.join(sizes.filter(F.col("_pairs") <= walk_pairs), [*block], "left_semi")
-        taken = taken.unionByName(settled(_walked(small, block, a, b, score)))
-        left = settled(left.join(sizes.filter(F.col("_pairs") > walk_pairs), [*block], "left_semi"))
-        count = left.count()
-        if not count:
-            break
+        taken = also(settled(_walked(small, block, a, b, score)))
+        left = left.join(sizes.filter(F.col("_pairs") > walk_pairs), [*block], "left_semi")
         won = settled(_certain(left, block, a, b, score))
-        taken = taken.unionByName(won)
+        taken = also(won)
         left = settled(_without(left, won, block, a, b))
-        before, count = count, left.count()
-        if count > before / 2:
+        if left.count() > before / 2:
             won = settled(_walked(_first(left, block, a, b, score, walk_pairs), block, a, b, score))
-            taken = taken.unionByName(won)
+            taken = also(won)
             left = settled(_without(left, won, block, a, b))
-            count = left.count()
-    return taken
 
 
 def _without(left: DataFrame, won: DataFrame, block: list[str], a: str, b: str) -> DataFrame:
@@ -133,22 +131,24 @@ def _without(left: DataFrame, won: DataFrame, block: list[str], a: str, b: str)
 
 
 def _walked(pairs: DataFrame, block: list[str], a: str, b: str, score: str) -> DataFrame:
-    """The walk itself, over blocks of bounded size."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        # Spark's order of texts is that of their bytes.
-        place = {c: rows[c].map(lambda x: x.encode() if isinstance(x, str) else x) for c in (a, b)}
-        rows = rows.assign(_a=place[a], _b=place[b], _s=-rows[score]).sort_values(["_s", "_a", "_b"])
-        used_a, used_b, keep = set(), set(), []
-        for x, y in zip(rows["_a"], rows["_b"], strict=True):
-            free = x not in used_a and y not in used_b
-            keep.append(free)
-            if free:
-                used_a.add(x)
-                used_b.add(y)
-        return rows.loc[keep, [*block, a, b, score]]
-
-    return pairs.select(*block, a, b, score).groupBy(*block).applyInPandas(walk, pairs.select(*block, a, b, score).schema)
+    """The walk itself: a task goes once through its blocks' pairs in order and remembers the names of one block."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used_a, used_b = None, set(), set()
+        for rows in batches:
+            keep = []
+            for *key, x, y in zip(*(rows[c] for c in [*block, a, b]), strict=True):
+                if key != at:
+                    at, used_a, used_b = key, set(), set()
+                free = x not in used_a and y not in used_b
+                keep.append(free)
+                if free:
+                    used_a.add(x)
+                    used_b.add(y)
+            yield rows[keep]
+
+    dealt = pairs.select(*block, a, b, score).repartition(*block).sortWithinPartitions(*block, F.desc(score), a, b)
+    return dealt.mapInPandas(walk, dealt.schema)
 
 
 def _first(pairs: DataFrame, block: list[str], a: str, b: str, score: str, most: int) -> DataFrame:
