@@ -88,6 +88,7 @@ class Lexicon:
         self._final: list[tuple[int, int] | None] = []
         self._begun: list[tuple[int, int] | None] = []
         self.alphabet = {c for t in self.terms for c in t}
+        self._turned: dict[tuple[str, bool], int] | None = None
         self.start = self._state({0: 0})
 
     def _state(self, reached: dict[int, int]) -> int:
@@ -145,6 +146,29 @@ class Lexicon:
         ends = self._final[state]
         return best if ends is None else ends if best is None else min(best, ends)
 
+    def turned(self, word: str) -> tuple[int, int] | None:
+        """(1, term number) of a term that the word becomes, or begins with, when two of its letters change places."""
+        if self._turned is None:
+            self._turned, self._ends = {}, {}
+            for n, t in enumerate(self.terms):
+                stem = t.rstrip("*")
+                if not self.allowed[n]:
+                    continue
+                for i in range(len(stem) - 1):
+                    if stem[i] != stem[i + 1]:
+                        self._turned.setdefault((stem[:i] + stem[i + 1] + stem[i] + stem[i + 2 :], t.endswith("*")), n)
+                if t.endswith("*"):
+                    self._ends.setdefault((stem[:-1], stem[-1]), n)  # its last letter stands behind the next one
+            self._sizes = sorted({len(w) for w, stem in self._turned if stem})
+        found = self._turned.get((word, False))
+        for k in self._sizes if found is None else ():
+            found = self._turned.get((word[:k], True)) if len(word) >= k else None
+            if found is None and len(word) > k and word[k - 1] != word[k]:
+                found = self._ends.get((word[: k - 1], word[k]))
+            if found is not None:
+                break
+        return None if found is None else (1, found)
+
 
 @dataclass
 class Model:
@@ -163,13 +187,8 @@ class Model:
         if self.lexicon is None:
             self.lexicon = Lexicon(self.terms, self.strict)
         got = self.lexicon.match(word)
-        if got is None and len(word) >= 4:
-            for i in range(len(word) - 1):
-                if word[i] != word[i + 1]:
-                    turned = self.lexicon.match(word[:i] + word[i + 1] + word[i] + word[i + 2 :])
-                    if turned and not turned[0] and self.lexicon.allowed[turned[1]]:
-                        got = (1, turned[1])
-                        break
+        if got is None:
+            got = self.lexicon.turned(word)
         return None if got and got[0] and word in self.exempt else got
 
     def hits(self, text: str) -> list[dict]:
