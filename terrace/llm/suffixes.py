@@ -42,8 +42,9 @@ STEP = 6
 CHUNK, PIECES, SPAN = 1_000_000, 200_000, 1 << 18
 #: An anchor in more documents than this is dealt by windows; so many different texts around one fit into a task.
 HOT = 65_536
-#: Groups for each shuffle partition, so that their sizes even out and a group's arrays stay small.
-GROUPS = 32
+#: Bytes of texts for each group, so that a group's arrays stay small whatever the corpus and the shuffle's partitions;
+#: groups are no finer, because each block has a row for each of them.
+GROUP_BYTES = 1 << 21
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -198,7 +199,8 @@ def _unpacked(blob: bytes, kind: type) -> np.ndarray:
 
 
 def _groups(h: np.ndarray, groups: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    """Groups of hashes, mixed once more: anchors have the least hashes of their windows, so most of them are small."""
+    return ((_mixed(h * np.uint64(_MULTIPLIER)) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
 def _cut(group: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -233,10 +235,13 @@ def _anchors_of(docs: DataFrame, groups: int) -> DataFrame:
             keep = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)]
             h, d = h[keep], d[keep]
             chunk = part << 33 | number
-            # Sorted hashes by their differences, which are small numbers.
+            group = _groups(h, groups)
+            order = np.argsort(group, kind="stable")
+            h, d, group = h[order], d[order], group[order]
+            # A group's sorted hashes by their differences, which are smaller numbers.
             step = np.diff(h, prepend=np.uint64(0))
             rows = []
-            for g, s in _cut(_groups(h, groups)):
+            for g, s in _cut(group):
                 step[s.start] = h[s.start]
                 rows.append((chunk, g, _packed(step[s]), _packed(d[s])))
             rows.append((chunk, -1, b"", _packed(np.concatenate(ids))))
@@ -309,7 +314,8 @@ class _Held:
 
     def split(self, hot: set[int]) -> None:
         """Texts around the given anchors are taken apart into single windows, dealt by their own hash."""
-        for text in [t for t, v in self.texts.items() if v[0] in hot and len(t) > LENGTH]:
+        # Also those that are one window already: it is dealt as the same window out of a longer text.
+        for text in [t for t, v in self.texts.items() if v[0] in hot]:
             h, anchor, doc, *spots = self.texts.pop(text)
             for i in range(len(text) - LENGTH + 1):
                 w = text[i : i + LENGTH]
@@ -468,9 +474,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     the hash of the text."""
     spark = docs.sparkSession
     prepare(spark)
-    groups = GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bytes_of = F.col(text).cast("binary")
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row"), bytes_of.alias("data")).filter("doc_id is not null and octet_length(data) >= 50")
+    groups = 8 + (given.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // GROUP_BYTES
     marks = _marks(given, groups)
     # In a fixed order: what a task makes of its documents must be the same if it runs again.
     marked = given.join(marks, ["doc_id", "row"]).select("doc_id", "row", "data", "hashes", "hot").sortWithinPartitions("doc_id", "row")

@@ -110,3 +110,22 @@ def test_long_texts_and_none(spark):
     assert out[1][2] == 0 and out[2][2:4] == (399_070, 2) and out[3][2] == 0
     assert got(spark, []) == []
     assert got(spark, [(1, None), (2, "x")]) == brute([(1, None), (2, "x")])
+
+
+def test_groups_have_equal_shares_of_anchors():
+    """Anchors are least hashes; dealt by their size, the first of 16 groups would get most of them."""
+    data = np.random.default_rng(4).integers(97, 123, 400_000).astype(np.uint8)
+    *_, h = suffixes.pieces(data, np.array([len(data)]))
+    shares = np.bincount(suffixes._groups(np.unique(h), 16), minlength=16) / len(np.unique(h))
+    assert shares.max() < 1.1 / 16 and shares.min() > 0.9 / 16
+
+
+def test_single_windows_of_frequent_anchors_meet_those_of_longer_texts():
+    rng = random.Random(6)
+    long = bytes(rng.choice(b"abcdefgh ") for _ in range(60))
+    one, two = suffixes._Held(), suffixes._Held()
+    one.put(long[3:53], 9, 7, 1, [5, 0])
+    two.put(long, 9, 10, 2, [6, 0])
+    for held in (one, two):
+        held.split({9})
+    assert one.texts[long[3:53]][0] == two.texts[long[3:53]][0] and len(two.texts) == 11
