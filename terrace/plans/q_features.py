@@ -272,7 +272,8 @@ def w5_rounds(spark, d):
     state = incremental.no_state(r, ["player"], order, ["rating"])
     for season in sorted(x.season for x in r.select("season").distinct().collect()):
         rows, state = incremental.advance(state, r.filter(F.col("season") == season), ["player"], order, specs)
-        state = settled(state)
+        # The season's features are a table of their own: left as plans, one task would sort the rows of all seasons.
+        state, rows = settled(state), settled(rows)
         done = rows if done is None else done.unionByName(rows)
     return done.select("match_id", "player", r6(F.col("lag3"), "lag3"), r6(F.col("lag5"), "lag5"), "earlier")
 

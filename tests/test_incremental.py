@@ -109,3 +109,11 @@ def test_the_chosen_length_is_the_curves_minimum(spark):
     n = len(short.stages[-1].trees)
     assert n == models.chosen_length(curve) == curve.index(min(curve)) + 1 < 30
     assert [t.toDebugString.split("\n", 1)[1] for t in short.stages[-1].trees] == [t.toDebugString.split("\n", 1)[1] for t in long.trees[:n]]
+
+
+def test_seasons_are_written_before_they_are_put_together(spark):
+    from terrace.plans import registry
+
+    registry.load()
+    plan = registry.QUERIES["w5_w6_incremental"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
