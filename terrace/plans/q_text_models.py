@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import text_blocks as tb
 from terrace.operators import aggs, inference, models, sheets
-from terrace.operators.rounds import shared_path
+from terrace.operators.rounds import dealt, shared_path
 from terrace.plans.bindings import RATINGS_SQL, ratings, t
 from terrace.plans.q_scalars import _SPLIT, split_ratings
 from terrace.plans.registry import query
@@ -21,7 +21,7 @@ _SIDE = "o_orderkey, CASE WHEN l_linestatus = 'O' THEN 'h' ELSE 'a' END AS side,
 )
 def t1(spark, d):
     # A nested text per match, as a source would store it: per side a list of shots, and a map of players by number.
-    li = t(spark, d, "lineitem").withColumn("side", F.when(F.col("l_linestatus") == "O", "h").otherwise("a"))
+    li = dealt(t(spark, d, "lineitem"), "l_orderkey").withColumn("side", F.when(F.col("l_linestatus") == "O", "h").otherwise("a"))
     entry = lambda minutes: F.struct(F.col("l_partkey").cast("string").alias("player"), minutes.alias("minutes"))
     shots = F.collect_list(entry(F.col("l_quantity"))).alias("shots")
     numbered = lambda arr: F.map_from_entries(F.transform(arr, lambda e, i: F.struct(i.cast("string"), e)))

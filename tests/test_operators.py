@@ -317,3 +317,16 @@ def test_trees_beat_the_mean_and_repeat(spark):
     assert [n for n, _ in models.importances(m["y"], f, cats)][0] in f
     few = models.train_targets(df, ["y"], f, cats, max_iter=4, min_leaf=1, leaves=6)["y"].stages[-1]
     assert max(t.numNodes for t in few.trees) <= 2 * 6 - 1 and few.getFeatureSubsetStrategy() == "0.85"
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    from terrace.operators import rounds
+    from terrace.plans import registry
+
+    registry.load()
+    monkeypatch.setattr(rounds, "ROWS", 100)
+    assert rounds.dealt(spark.range(2001), "id").rdd.getNumPartitions() == 21
+    assert rounds.dealt(spark.range(3), "id").rdd.getNumPartitions() == 8
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = registry.QUERIES["t1_match_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and f", {-(-n // 100)})" in plan
